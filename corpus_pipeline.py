@@ -1,15 +1,67 @@
-"""A corpus pipeline over ``documents``, stage by stage."""
+"""A corpus pipeline over ``documents``: quality, near-duplicates, repeated passages, mix, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and, but for the last, gives
+back the columns of ``documents``. ``labels`` is read beside them, from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tintmill.llm import mixing, neardup, packing, quality, substring
+from tintmill.llm.common import cut, small, table
+from tintmill.llm.queries import tokenizer_path
+
+#: Score under which a document is rejected.
+REJECT_BELOW = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.score(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= REJECT_BELOW).drop("score")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of smallest id; of an id's rows, one. Null ids stay."""
+    found = cut(neardup.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("doc_id is not null and (not kept or rows > 1)"))
+    n = found.count()
+    alone = docs.join(small(found.select("doc_id"), n), "doc_id", "left_anti")
+    again = docs.join(small(found.filter("kept").select("doc_id"), n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return alone.unionByName(again).select(docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occur earlier; those of which nothing is left go."""
+    done = substring.remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
+    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of their sources takes them."""
+    return mixing.emit(mixing.mix(docs)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document taken, with its place in a training sequence."""
+    return packing.pack(docs.drop("n_chars"), tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("source mix", mix_stage),
+    ("best-fit packing", packing_stage),
+]
+#: SQL expresses neither the classifier nor the mix; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each on the rows that its predecessor kept."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = cut(docs) if k < len(STAGES) - 1 else docs
     return docs

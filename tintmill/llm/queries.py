@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, substring
+from . import mixing, neardup, packing, quality, substring
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that the packing query takes; the operator has it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def remainder(c, n: int):
+    """crc32 of a number's text, modulo n."""
+    return F.crc32(c.cast("string").cast("binary")) % n
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substring.remove_repeats(docs, join=True)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_on=lambda c: remainder(c, 4) != 2, carry=["doc_id"])
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -22,6 +49,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
-    "op6_near_dedup": op6_near_dedup,
+    "op1_source_mix": op1_source_mix,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality": op3_quality,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_near_dedup": op6_near_dedup,
 }
