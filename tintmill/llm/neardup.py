@@ -39,10 +39,12 @@ _SIGNED = "_id long, _n long, _k1 long, _k2 long, _bands array<long>, _sig binar
 def _sequence(words: Words, h: np.ndarray, which: int) -> np.ndarray:
     """A 64-bit hash of each text's whole word sequence."""
     base = _WORD[which]
-    n = len(h)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, n), dtype=np.uint64)]) if n else np.zeros(1, np.uint64)
-    back = np.append(powers(pow(base, -1, 1 << 64), n), np.uint64(1))
-    return mix((sums[words.first[1:]] - sums[words.first[:-1]]) * back[np.minimum(words.first[:-1], n)] + words.count.astype(np.uint64))
+    place = np.arange(len(h)) - words.first[words.doc] if len(h) else np.zeros(0, np.int64)
+    out = words.count.astype(np.uint64)
+    full = np.flatnonzero(words.count)
+    if len(full):
+        out[full] += np.add.reduceat(h * powers(base, int(place.max()) + 1)[place], words.first[:-1][full])
+    return mix(out)
 
 
 def shingle_sets(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +68,9 @@ def shingle_sets(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np
 def _sign(size: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("_id"), batch.column("_text").to_pylist()
-            for a, b in chunks(texts):
-                words = Words(texts[a:b], lower=True)
+            ids = batch.column("_id")
+            for a, b, texts in chunks(batch.column("_text")):
+                words = Words(texts, lower=True)
                 h = words.hashes(0)
                 g, first = shingle_sets(words, h, size)
                 n = np.diff(first)
@@ -113,7 +115,8 @@ def _set(text: str, size: int) -> set:
 def _confirm(size: int, percent: int):
     def run(batches):
         last, held = None, set()
-        for batch in batches:
+        # A few rows at a time: every row brings two texts.
+        for batch in (whole.slice(a, 128) for whole in batches for a in range(0, whole.num_rows, 128)):
             u, v, left, right = (batch.column(k).to_pylist() for k in ("u", "v", "tu", "tv"))
             good = []
             for k in range(len(u)):

@@ -135,11 +135,10 @@ def _encode(path: str, length: int, with_ids: bool):
     def run(batches):
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for first, last in chunks(texts):
+            for first, last, texts in chunks(batch.column("_text")):
                 rows, facts, tokens = [], [], []
                 for k in range(first, last):
-                    data = encode(texts[k] or "") + end
+                    data = encode(texts[k - first] or "") + end
                     for piece, (start, size) in enumerate(pieces_of(len(data) // 4, length)):
                         own = data[4 * start : 4 * (start + size)]
                         rows.append(k)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import WORD, cut
+from .textops import chunks
 
 TRAIN_ROWS, TRAIN_PARTS, FOLDS = 60_000, 8, 4
 FEATURES, RIDGE = 256, 1e-2
@@ -72,8 +73,10 @@ def statistics(text: str | None) -> list[float]:
 
 def _measure(batches):
     for batch in batches:
-        values = [list(map(float, statistics(t))) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, pa.array(values, pa.list_(pa.float64()))], names=[*(c for c in batch.schema.names if c != "_text"), "_x"])
+        names = [c for c in batch.schema.names if c != "_text"]
+        for a, b, texts in chunks(batch.column("_text")):
+            values = [list(map(float, statistics(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).slice(a, b - a).columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, "_x"])
 
 
 class Model:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _M = (1 << 64) - 1
 #: Odd multipliers of the two byte polynomials and the two word polynomials.
 _BYTE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORD = (0xC2B2AE3D27D4EB4F | 5, 0x165667B19E3779F9 | 5)
 _TABLES = tuple(np.random.default_rng(k).integers(0, 1 << 64, 256, dtype=np.uint64) for k in (11, 12))
+#: Bytes or words that are hashed at a time.
+_RUN = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -56,11 +60,20 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        p, base = powers(_BYTE[which], len(self.bytes)), _BYTE[which]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES[which][self.bytes] * p, dtype=np.uint64)])
-        back = powers(pow(base, -1, 1 << 64), len(self.bytes))
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + length * np.uint64(0xA0761D6478BD642F))
+        base, out = _BYTE[which], np.empty(len(self.starts), np.uint64)
+        back = pow(base, -1, 1 << 64)
+        k = 0
+        while k < len(out):
+            # A run of words at a time, so that no table of powers grows with the text.
+            last = max(k + 1, int(np.searchsorted(self.ends, self.starts[k] + _RUN)))
+            low, high = int(self.starts[k]), int(self.ends[last - 1])
+            starts, ends = self.starts[k:last] - low, self.ends[k:last] - low
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_TABLES[which][self.bytes[low:high]] * powers(base, high - low), out=sums[1:])
+            length = (ends - starts).astype(np.uint64)
+            out[k:last] = mix((sums[ends] - sums[starts]) * powers(back, high - low)[starts] + length * np.uint64(0xA0761D6478BD642F))
+            k = last
+        return out
 
 
 def ngrams(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
@@ -68,9 +81,14 @@ def ngrams(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     size = len(hashes) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    base = _WORD[which]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, len(hashes)), dtype=np.uint64)])
-    return mix((sums[n:] - sums[:-n]) * powers(pow(base, -1, 1 << 64), len(hashes))[:size])
+    base, out = _WORD[which], np.empty(size, np.uint64)
+    back = pow(base, -1, 1 << 64)
+    for a in range(0, size, _RUN):
+        own = hashes[a : min(a + _RUN, size) + n - 1]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * powers(base, len(own)), out=sums[1:])
+        out[a : a + _RUN] = mix((sums[n:] - sums[:-n]) * powers(back, len(own))[: len(own) - n + 1])
+    return out
 
 
 def inside(first: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -116,14 +134,11 @@ def undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat(part, begin), dtype=np.uint64)
 
 
-def chunks(texts: list, limit: int = 1 << 21):
-    """Ranges of a list of texts that hold about ``limit`` characters each (a longer text is alone)."""
-    a = held = 0
-    for k, t in enumerate(texts):
-        size = len(t) if t else 0
-        if k > a and held + size > limit:
-            yield a, k
-            a, held = k, 0
-        held += size
-    if a < len(texts):
-        yield a, len(texts)
+def chunks(column: pa.Array, limit: int = 1 << 20):
+    """(begin, end, texts) for runs of a column that hold about ``limit`` bytes each (a longer text is alone)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, "right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
