@@ -145,7 +145,7 @@ def _exact(plan: _Plan):
         first = entry[new]
         owner = first["h1"] >> np.uint64(64 - plan.owner_bits) if plan.owner_bits else np.zeros(len(first), np.uint64)
         cut = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ np.uint64(1)))
-        out = [{"_block": block, "_owner": int(owner[a]), "_row": 0, "_data": first[a:b].tobytes()} for a, b in zip(cut, [*cut[1:], len(first)])]
+        out = [{"_block": block, "_owner": int(owner[a]), "_row": 0, "_data": _planes(first[a:b])} for a, b in zip(cut, [*cut[1:], len(first)])]
         # What the block settles by itself passes through some owner, unchanged.
         out.append({"_block": block, "_owner": block % (1 << plan.owner_bits), "_row": 1, "_data": _places(later["doc"], later["start"])})
         return pa.Table.from_pylist(out, schema=_ARROW)
@@ -153,17 +153,26 @@ def _exact(plan: _Plan):
     return run
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Fixed-size rows with their first bytes together, then their second ones: leading zeros and sorted heads compress."""
+    return rows.view(np.uint8).reshape(len(rows), -1).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
 def _places(doc: np.ndarray, start: np.ndarray) -> bytes:
     out = np.zeros(len(doc), _PLACE)
     out["doc"], out["start"] = doc, start
-    return out.tobytes()
+    return _planes(out)
 
 
 def _group(t: pa.Table) -> pa.Table:
     """Groups one range of keys exactly; answers each block with its places that aren't a key's first."""
     rows = list(zip(*(t.column(k).to_pylist() for k in ("_block", "_owner", "_row", "_data"))))
     out = [{"_block": b, "_owner": o, "_row": 1, "_data": d} for b, o, r, d in rows if r == 1 and d]
-    sent = [(b, o, np.frombuffer(d, _KEY)) for b, o, r, d in rows if r == 0]
+    sent = [(b, o, _unplanes(d, _KEY)) for b, o, r, d in rows if r == 0]
     if sent:
         every = np.concatenate([x for _, _, x in sent])
         who = np.repeat(np.arange(len(sent)), [len(x) for _, _, x in sent])
@@ -187,7 +196,7 @@ def _remove(plan: _Plan, join: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, order, words = _read(left)
         hit = np.zeros(len(words.doc) + 1, np.int64)
-        place = np.frombuffer(b"".join(right.column("_data").to_pylist()), _PLACE)
+        place = np.concatenate([np.zeros(0, _PLACE), *(_unplanes(d, _PLACE) for d in right.column("_data").to_pylist())])
         # Rows that share an id share its places, as far as they have that many words.
         lo, hi = np.searchsorted(ids, place["doc"], "left"), np.searchsorted(ids, place["doc"], "right")
         for k in range(int((hi - lo).max()) if len(place) else 0):
