@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, substring
+from . import ann, fingerprints, licences, lm, mixing, neardup, packing, quality, substring
 from .common import table
 
 
@@ -46,12 +46,32 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-ORACLES: dict[str, str] = {}
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) != 1)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+ORACLES: dict[str, str] = {"op4_licence_scan": licences.oracle()}
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
+    "op4_licence_scan": op4_licence_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_lm_scores": op7_lm_scores,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op10_fingerprints": op10_fingerprints,
 }
