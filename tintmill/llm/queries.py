@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, licences, lm, mixing, neardup, packing, quality, substring
+from . import ann, fingerprints, licences, lm, mixing, neardup, packing, pages, quality, substring
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -73,5 +77,6 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_lm_scores": op7_lm_scores,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_page_text": op9_page_text,
     "op10_fingerprints": op10_fingerprints,
 }
