@@ -6,9 +6,9 @@ a band; documents that agree on a band are candidates. A pair at similarity 0.8
 with probability (1 - 0.8**5)**32 = 3e-6. Links are confirmed on the full shingle sets.
 
 Equal word sequences are one node from the start. A bucket's members are checked against a star,
-its least member, then against a second star, and only where members still lie in different
-components are pairs formed inside the bucket: in squares of bounded side, and only for pairs
-whose signatures and set sizes allow the similarity. Members of one component are not paired.
+its least member, then against a second star. Where members still lie in different components,
+the bucket is compared in squares of bounded side, to which the members bring their sets as hashes.
+A square gives only links, and of those only what joins components: no candidate pair leaves it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .components import components
 from .textops import _WORD, Words, chunks, inside, mix, ngrams, powers
 
 PERMUTATIONS, BAND = 80, 5
-#: Signature agreement under which a pair is not confirmed: five deviations below a similarity of 0.8.
+#: Signature agreement this far under the similarity rules a pair out in a square: five deviations below a similarity of 0.8.
 SLACK = 0.15
 #: Side of the squares in which a bucket's pairs are compared.
 SIDE = 2048
@@ -138,17 +138,58 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(size, percent), "u long, v long")
 
 
+def _short(size: int):
+    """Sets as 40-bit hashes, five bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in chunks(batch.column("_text")):
+                words = Words(texts, lower=True)
+                g, first = shingle_sets(words, words.hashes(0), size)
+                data = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, 3:]
+                sets = [data[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), pa.array(sets, pa.binary())], names=["_rep", "_set"])
+
+    return run
+
+
 def _square(percent: int):
     def run(t: pa.Table) -> pa.Table:
         side, ids, comp, n = (np.asarray(t.column(k)) for k in ("_side", "_rep", "_comp", "_n"))
         sig = np.frombuffer(b"".join(t.column("_sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        raw = t.column("_set").to_pylist()
+        size = np.array([len(x) // 5 for x in raw])
+        hashes = np.zeros((int(size.sum()), 8), np.uint8)
+        hashes[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        names, at = np.unique(hashes.view("<u8").reshape(-1), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(len(names), bool)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
         rows, cols = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         out = []
         for r in rows:
             ok = cols[(ids[cols] > ids[r]) | (side[r] != 2)]
             ok = ok[(comp[ok] != comp[r]) & (100 * np.minimum(n[ok], n[r]) >= percent * np.maximum(n[ok], n[r]))]
             ok = ok[(sig[ok] == sig[r]).mean(axis=1) >= percent / 100 - SLACK]
-            out += [(min(ids[r], x), max(ids[r], x)) for x in ids[ok]]
+            if not len(ok):
+                continue
+            own = at[first[r] : first[r + 1]]
+            mark[own] = True
+            for k in range(0, len(ok), 256):
+                some = ok[k : k + 256]
+                both = np.add.reduceat(mark[np.concatenate([at[first[c] : first[c + 1]] for c in some])], np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+                for c in some[100 * both >= percent * (size[r] + size[some] - both)]:
+                    x, y = find(int(comp[r])), find(int(comp[c]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((min(ids[r], ids[c]), max(ids[r], ids[c])))
+            mark[own] = False
         out = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"u": out[:, 0], "v": out[:, 1]})
 
@@ -192,10 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = placed_in(edges)
     if not left.isEmpty():
         facts = named.groupBy(F.col("_id").alias("_rep")).agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
-        square = left.join(facts, "_rep").withColumn("_parts", F.ceil(F.col("_size") / SIDE).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_rep"), "_parts").cast("int"))
+        ids = cut(left.select(F.col("_rep").alias("_id")).distinct())
+        sets = docs.join(small(ids, ids.count()), "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(_short(size), "_rep long, _set binary")
+        square = left.join(facts, "_rep").join(sets, "_rep").withColumn("_parts", F.ceil(F.col("_size") / SIDE).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_rep"), "_parts").cast("int"))
         # A member stands in the row of the squares from its part on, and in the column of those before it.
         square = square.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
-            "_bucket", F.least("_part", "_at").alias("_i"), F.greatest("_part", "_at").alias("_j"), F.when(F.col("_part") == F.col("_at"), 2).otherwise(F.when(F.col("_part") < F.col("_at"), 0).otherwise(1)).alias("_side"), "_rep", "_comp", "_n", "_sig")
+            "_bucket", F.least("_part", "_at").alias("_i"), F.greatest("_part", "_at").alias("_j"), F.when(F.col("_part") == F.col("_at"), 2).otherwise(F.when(F.col("_part") < F.col("_at"), 0).otherwise(1)).alias("_side"), "_rep", "_comp", "_n", "_sig", "_set")
         pairs = square.groupBy("_bucket", "_i", "_j").applyInArrow(_square(percent), "u long, v long").distinct()
         pairs = cut(pairs.join(seen, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
