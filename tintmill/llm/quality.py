@@ -139,7 +139,7 @@ def fit(train: DataFrame) -> Model | None:
     if not sums[0] or sums[1] in (0, sums[0]):
         return None
     model = Model(np.array(sums[2 : 2 + len(NAMES)], float), np.array(sums[2 + len(NAMES) :], float))
-    parts = train.repartition(TRAIN_PARTS, "_row").mapInArrow(_equations(model), "left binary, right binary").collect()
+    parts = train.repartition(TRAIN_PARTS).mapInArrow(_equations(model), "left binary, right binary").collect()
     size = len(model.phase) + len(model.mean) + 1
     left = sum(np.frombuffer(p.left).reshape(FOLDS, size, size) for p in parts)
     right = sum(np.frombuffer(p.right).reshape(FOLDS, size) for p in parts)
