@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 
 U32 = 4_294_967_295
 
@@ -37,20 +37,19 @@ def _edges(spends: DataFrame, value: Column | None) -> DataFrame:
 def _double(base: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, block[, w]) reached from ``base`` along ``edges`` (child, parent[, w]); with w, products are summed."""
     weighted = "w" in edges.columns
-    # Blocks at 64 bits and a record's edges stay as they are; only the rounds' new rows are shuffled.
-    reach, hops = base, cut(edges)
+    reach, hops = base, written(edges)
     while not hops.isEmpty():
         down = hops.withColumnRenamed("w", "v") if weighted else hops
         step = down.join(reach.withColumnRenamed("seq", "parent"), "parent")
         if weighted:
             step = step.select(F.col("child").alias("seq"), "block", (F.col("v") * F.col("w")).alias("w"))
-            reach = cut(reach.unionByName(step).groupBy("seq", "block").agg(F.sum("w").alias("w")))
+            reach = written(reach.unionByName(step).groupBy("seq", "block").agg(F.sum("w").alias("w")))
             next_ = hops.select("child", F.col("parent").alias("mid"), F.col("w").alias("v")).join(hops.select(F.col("child").alias("mid"), "parent", "w"), "mid")
-            hops = cut(next_.select("child", "parent", (F.col("v") * F.col("w")).alias("w")).groupBy("child", "parent").agg(F.sum("w").alias("w")))
+            hops = written(next_.select("child", "parent", (F.col("v") * F.col("w")).alias("w")).groupBy("child", "parent").agg(F.sum("w").alias("w")))
         else:
             step = step.select(F.col("child").alias("seq"), "block")
-            reach = cut(reach.unionByName(step).distinct())
-            hops = cut(hops.select("child", F.col("parent").alias("mid")).join(hops.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").distinct())
+            reach = written(reach.unionByName(step).distinct())
+            hops = written(hops.select("child", F.col("parent").alias("mid")).join(hops.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").distinct())
     return reach
 
 
@@ -65,19 +64,19 @@ def closure(records: DataFrame, inputs: DataFrame, spends: DataFrame, mode: str
     if mode not in ("sets", "rings"):
         raise ValueError(f"unknown mode {mode!r}")
     own = _checked_blocks(records) if mode == "sets" else records
-    return _double(cut(coinbase(own, inputs).select("seq", "block")), _edges(spends, None))
+    return _double(written(coinbase(own, inputs).select("seq", "block")), _edges(spends, None))
 
 
 def weighted(records: DataFrame, inputs: DataFrame, spends: DataFrame) -> DataFrame:
     """(seq, block, w): the distribution of every record's value over blocks. Zero weights stay in the support."""
     base = coinbase(_checked_blocks(records), inputs).select("seq", "block", F.lit(1.0).alias("w"))
-    return _double(cut(base), _edges(shares(spends), F.col("share")))
+    return _double(written(base), _edges(shares(spends), F.col("share")))
 
 
 def path_counts(records: DataFrame, inputs: DataFrame, spends: DataFrame) -> DataFrame:
     """(seq, block, w): on how many spend paths each block is reached (addition in place of union)."""
     base = coinbase(records, inputs).select("seq", "block", F.lit(1).cast("long").alias("w"))
-    return _double(cut(base), _edges(spends, F.lit(1).cast("long")))
+    return _double(written(base), _edges(spends, F.lit(1).cast("long")))
 
 
 def drift(colors: DataFrame) -> DataFrame:

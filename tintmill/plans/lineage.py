@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder the session names.
-
-    The folder is set here only where neither the context nor ``spark.checkpoint.dir`` has one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names; one of its own only where it names none, as in local tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint. Spark removes its files when nothing refers to it, where it is set to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session, or its gateway, is gone already
+        pass
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, for loops.
+
+    A checkpoint keeps the size estimates of the plan it cuts; round after round of joins multiplies
+    them without end. A table read back has its own size. It goes when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
