@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,34 +32,40 @@ from .textops import Words, chunks, deltas, undeltas
 
 DISCOUNT = 0.75
 BLOCK_CHARS = 1 << 22
-#: N-grams an owner adds, about; parts into which each state's arcs are dealt, so that no state is one owner's.
-OWNER_ITEMS, STATE_PARTS = 1 << 20, 4
+#: N-grams an owner adds, about.
+OWNER_ITEMS = 1 << 20
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _MESSAGE = "_block long, _owner long, _row int, _data binary, _more binary"
 _ARROW = pa.schema([("_block", pa.int64()), ("_owner", pa.int64()), ("_row", pa.int32()), ("_data", pa.binary()), ("_more", pa.binary())])
+_ZSTD = pa.Codec("zstd")
 _ARC, _TOKEN, _FANOUT, _ARC_SUM, _TOKEN_SUM = range(5)
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    """Counts as byte planes: small ones leave the high planes empty."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Counts as byte planes, compressed: most are ones."""
+    return len(x).to_bytes(4, "little") + _ZSTD.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
 
 def _unnumbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    size = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[4:], 4 * size), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def _arcs(w: np.ndarray, n: np.ndarray) -> bytes:
-    """40-bit arc hashes and their counts as byte planes."""
-    return w.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes() + _numbers(n)
+    """40-bit arc hashes as byte planes, after their counts."""
+    counts = _numbers(n)
+    return len(counts).to_bytes(4, "little") + counts + w.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
 def _unarcs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = len(data) // 9
+    end = 4 + int.from_bytes(data[:4], "little")
+    counts = _unnumbers(data[4:end])
+    size = len(counts)
     w = np.zeros((size, 8), np.uint8)
-    w[:, :5] = np.frombuffer(data, np.uint8, 5 * size).reshape(5, -1).T
-    return w.view("<u8").reshape(-1), _unnumbers(data[5 * size :])
+    w[:, :5] = np.frombuffer(data, np.uint8, offset=end).reshape(5, -1).T
+    return w.view("<u8").reshape(-1), counts
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +90,10 @@ def _rows(t: pa.Table) -> list[tuple]:
 class _Sizes:
     def __init__(self, chars: int, tokens: int):
         self.blocks = max(1, -(-chars // BLOCK_CHARS))
-        self.bits = _bits(tokens / OWNER_ITEMS / (1 << STATE_PARTS))
+        self.owner_bits = _bits(tokens / OWNER_ITEMS)
+        # A state's arcs are dealt to several owners, more the more there are, so that no state is one owner's.
+        self.parts = self.owner_bits // 4
+        self.bits = self.owner_bits - self.parts
 
 
 class _Tokens:
@@ -105,9 +115,9 @@ class _Tokens:
         self.token_n[self.token_at[-1]] = int(learnt.sum())
         self.arc_n = np.bincount(self.arc_at, self.learnt, len(self.arcs)).astype(np.int64)
 
-    def arc_owners(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def arc_owners(self, sizes: _Sizes) -> tuple[np.ndarray, np.ndarray]:
         """Owner of each distinct arc, and the order by owner and hash."""
-        owner = ((self.states >> np.uint64(40 - bits) << np.uint64(STATE_PARTS)) | (self.arcs >> np.uint64(40 - STATE_PARTS))).astype(np.int64)
+        owner = ((self.states >> np.uint64(40 - sizes.bits) << np.uint64(sizes.parts)) | (self.arcs >> np.uint64(40 - sizes.parts))).astype(np.int64)
         return owner, np.argsort(owner, kind="stable")
 
 
@@ -126,11 +136,11 @@ def _ask(sizes: _Sizes):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         texts, learnt, _ = _read(t)
         own, block, out = _Tokens(texts, learnt), key[0].as_py(), []
-        owner, order = own.arc_owners(sizes.bits)
+        owner, order = own.arc_owners(sizes)
         owner, states, arcs, n = owner[order], own.states[order], own.arcs[order], own.arc_n[order]
         for a, b in _borders(owner):
             out.append((block, int(owner[a]), _ARC, deltas(states[a:b]), _arcs(arcs[a:b], n[a:b])))
-        bits = sizes.bits + STATE_PARTS
+        bits = sizes.owner_bits
         owner = (own.tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own.tokens), np.int64)
         for a, b in _borders(owner):
             out.append((block, int(owner[a]), _TOKEN, deltas(own.tokens[a:b]), _numbers(own.token_n[a:b])))
@@ -143,8 +153,7 @@ def _add_arcs(sizes: _Sizes):
     """Adds the counts of one owner's arcs; answers, and tells the owners of states how many arcs they have here."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = _rows(t)
-        out = [r for r in rows if r[2] == _TOKEN]
+        rows, out = _rows(t), []
         asked = [(b, undeltas(d), *_unarcs(m)) for b, _, r, d, m in rows if r == _ARC]
         if asked:
             states, arcs, at = _pairs(*(np.concatenate([r[k] for r in asked]) for k in (1, 2)))
@@ -152,7 +161,7 @@ def _add_arcs(sizes: _Sizes):
             end = np.cumsum([len(k) for _, k, *_ in asked])
             out += [(b, key[0].as_py(), _ARC_SUM, None, _numbers(total[at[e - len(k) : e]])) for (b, k, *_), e in zip(asked, end)]
             states, n = np.unique(states[total > 0], return_counts=True)
-            bits = sizes.bits + STATE_PARTS
+            bits = sizes.owner_bits
             owner = (states >> np.uint64(40 - bits)).astype(np.int64) if bits else np.zeros(len(states), np.int64)
             out += [(None, int(owner[a]), _FANOUT, deltas(states[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
         return _table(out)
@@ -160,11 +169,11 @@ def _add_arcs(sizes: _Sizes):
     return run
 
 
-def _add_tokens(t: pa.Table) -> pa.Table:
-    """Adds the counts of one owner's tokens and their states' arcs; passes answers about arcs on."""
-    rows = _rows(t)
+def _add_tokens(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Adds the counts of one owner's tokens (right) and their states' arcs (left); passes answers about arcs on."""
+    rows = _rows(left)
     out = [r for r in rows if r[2] == _ARC_SUM]
-    asked = [(b, o, undeltas(d), _unnumbers(m)) for b, o, r, d, m in rows if r == _TOKEN]
+    asked = [(b, o, undeltas(d), _unnumbers(m)) for b, o, r, d, m in _rows(right.filter(pc.equal(right.column("_row"), _TOKEN)))]
     if asked:
         tokens, at = np.unique(np.concatenate([k for *_, k, _ in asked]), return_inverse=True)
         total = np.bincount(at, np.concatenate([n for *_, n in asked])).astype(np.int64)
@@ -186,7 +195,7 @@ def _walk(sizes: _Sizes, total: int, distinct: int):
         sums = {kind: sorted((o, d, m) for _, o, r, d, m in told if r == kind) for kind in (_ARC_SUM, _TOKEN_SUM)}
         none = np.zeros(0, np.int64)
         arc_n = np.zeros(len(own.arcs), np.int64)
-        arc_n[own.arc_owners(sizes.bits)[1]] = np.concatenate([none, *(_unnumbers(m) for _, _, m in sums[_ARC_SUM])])
+        arc_n[own.arc_owners(sizes)[1]] = np.concatenate([none, *(_unnumbers(m) for _, _, m in sums[_ARC_SUM])])
         n = np.concatenate([none, *(_unnumbers(d) for _, d, _ in sums[_TOKEN_SUM])])
         fan = np.concatenate([none, *(_unnumbers(m) for _, _, m in sums[_TOKEN_SUM])])
 
@@ -258,13 +267,14 @@ def scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(learn_from, F.lit(False)).alias("_learnt"))
     chars = int(own.agg(F.sum(F.length("_text"))).first()[0] or 0)
     sizes = _Sizes(chars, chars // 5)
-    tokens = cut(own.filter("_learnt").select("_text").mapInArrow(_distinct(sizes.bits + STATE_PARTS), "_owner long, _data binary, _n long"))
+    tokens = cut(own.filter("_learnt").select("_text").mapInArrow(_distinct(sizes.owner_bits), "_owner long, _data binary, _n long"))
     total = int(tokens.agg(F.sum("_n")).first()[0] or 0)
     distinct = int(tokens.groupBy("_owner").applyInArrow(_count_distinct, "_distinct long").agg(F.sum("_distinct")).first()[0] or 0)
 
     dealt = own.withColumn("_block", F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(sizes.blocks)).cast("long"))
     asked = dealt.groupBy("_block").applyInArrow(_ask(sizes), _MESSAGE)
     arcs = asked.groupBy("_owner").applyInArrow(_add_arcs(sizes), _MESSAGE)
-    told = arcs.groupBy("_owner").applyInArrow(_add_tokens, _MESSAGE)
+    # The questions are read twice, from one exchange.
+    told = arcs.groupBy("_owner").cogroup(asked.groupBy("_owner")).applyInArrow(_add_tokens, _MESSAGE)
     out = dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_walk(sizes, total, distinct), "_id long, _learnt boolean, _tokens long, _known long, _base double, _score double")
     return out.select(F.col("_id").alias("doc_id"), (~F.col("_learnt")).alias("held_out"), F.col("_tokens").alias("n_tokens"), F.col("_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
