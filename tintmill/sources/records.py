@@ -77,6 +77,7 @@ def rejected(line: Column) -> Column:
         .when(line.rlike(r"[^\s()0-9]"), "expected an integer")
         .when(~line.rlike(_RECORD), "malformed record")
         .when(few < 3, F.concat(F.lit("record header has "), few.cast("string"), F.lit(" fields")))
+        .when(F.regexp_extract(line, r"^\s*\(\s*\([^()]*\)\s*\(((?:\s*\([^()]*\))*)\s*\)", 1).rlike(r"\(\s*(?:\d+(?:\s+\d+)?)?\s*\)"), "input has too few fields")
         .when(F.regexp_extract(line, r"(\(\s*\d+\s+(\d+)\s+(\d+))", 2).cast("decimal(38,0)") > F.lit(str(WIDEST)).cast("decimal(20,0)"), "does not fit in a usize")
         .when(F.regexp_extract(line, r"(\(\s*\d+\s+(\d+)\s+(\d+))", 3).cast("decimal(38,0)") > F.lit(str(WIDEST)).cast("decimal(20,0)"), "does not fit in a usize")
     )
