@@ -1,12 +1,12 @@
-"""Shared plumbing: reading tables, cutting lineage, bounded broadcasts."""
+"""Shared plumbing: reading tables, words, bounded broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut  # noqa: F401  for the operators
+
 #: A word: a run of characters outside space, tab and the controls up to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a narrow table (a few dozen bytes a row) may be broadcast.
@@ -17,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder the session names.
-
-    The folder is set here only where neither the context nor ``spark.checkpoint.dir`` has one,
-    as in local tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within the limit, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= limit else df

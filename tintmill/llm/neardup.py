@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import WORD, cut, small
-from .components import components
 from .textops import _WORD, Words, chunks, inside, mix, ngrams, powers
 
 PERMUTATIONS, BAND = 80, 5
