@@ -18,8 +18,12 @@ REJECT_BELOW = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= REJECT_BELOW).drop("score")
+    """Documents that the quality classifier doesn't reject. Decisions go back to rows by id and text, nulls included."""
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    scored = quality.score(keyed, table(spark, sf_dir, "labels"), carry=["doc_id", "_text_hash"])
+    bad = cut(scored.filter(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_text_hash").eqNullSafe(F.col("_bad_hash"))
+    return keyed.join(small(bad, bad.count()), same, "left_anti").drop("_text_hash")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

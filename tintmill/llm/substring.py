@@ -155,7 +155,7 @@ def _exact(plan: _Plan):
 
 def _planes(rows: np.ndarray) -> bytes:
     """Fixed-size rows with their first bytes together, then their second ones: leading zeros and sorted heads compress."""
-    return rows.view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
 
 
 def _unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
