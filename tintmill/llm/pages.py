@@ -26,8 +26,8 @@ from .textops import chunks
 
 # Fixed values of HTML: elements that never have content, whose content is no markup, and that stand in lines of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math textarea title select option datalist canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+RAW = frozenset("script style template noscript iframe object svg math textarea title select option datalist button canvas audio video".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: Elements that a start tag of the key closes if they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block elements that may hold their like; an open paragraph ends at any of them, and at a paragraph.
