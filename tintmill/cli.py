@@ -2,9 +2,10 @@
 
     python -m tintmill color [<limit>|all] [--stats] [--rings|--sets|--weighted]
                              [--pbm <file>|--svg <file> [--blocks <n>] [--bin <n>]] --records <path> [-o <file>]
-    python -m tintmill tree-svg <arcs> [--nodes <n>] [-o <file>] [--scale <px>]
-    python -m tintmill tree-bitmap <arcs> [--nodes <n>] [-o <file>] [--format pbm|pgm] [--zoom <n>]
+    python -m tintmill tree-svg <graph> [--nodes <n>] [-o <file>] [--scale <px>]
+    python -m tintmill tree-bitmap <graph> [--nodes <n>] [-o <file>] [--format pbm|pgm] [--zoom <n>]
 
+A graph is a table of arcs (.parquet, .csv, .txt or .arcs), or the basename of a compressed web-graph.
 Rows are ordered by the cluster and streamed through the driver partition by partition, so a picture
 needs no more memory there than a partition of it.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .operators import color, forest, layout, picture, utxo
 from .plans.lineage import written
-from .sources import graphs
+from .sources import graphs, webgraph
 from .sources import records as text
 
 LIMIT = 1_000_001
@@ -143,13 +144,18 @@ def run_color(spark: SparkSession, args: Sequence[str]) -> None:
 
 def _drawing(spark: SparkSession, plain: Sequence[str], nodes: int | None) -> DataFrame:
     if len(plain) != 1:
-        raise UsageError("one table of arcs")
-    kind = "csv" if plain[0].endswith(".csv") else "text" if plain[0].endswith((".txt", ".arcs")) else "parquet"
-    arcs = written(graphs.load_arcs(spark, plain[0], kind))
-    if nodes is None:
-        most = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0]
-        nodes = 0 if most is None else most + 1
-    own = forest.forest(graphs.nodes_of(spark, nodes), arcs)
+        raise UsageError("one graph: a table of arcs, or a web-graph's basename")
+    kind = next((k for k, ends in (("csv", ".csv"), ("text", (".txt", ".arcs")), ("parquet", ".parquet")) if plain[0].endswith(ends)), None)
+    if kind is None:
+        every, arcs = webgraph.load(spark, plain[0])
+        arcs = written(arcs)
+    else:
+        arcs = written(graphs.load_arcs(spark, plain[0], kind))
+        if nodes is None:
+            most = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0]
+            nodes = 0 if most is None else most + 1
+        every = graphs.nodes_of(spark, nodes)
+    own = forest.forest(every, arcs)
     print(forest.summary(own, arcs).first()["text"], file=sys.stderr)
     return written(layout.layout(own))
 
