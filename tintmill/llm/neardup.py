@@ -27,8 +27,8 @@ from .textops import _WORD, Words, chunks, inside, mix, ngrams, powers
 PERMUTATIONS, BAND = 80, 5
 #: Signature agreement this far under the similarity rules a pair out in a square: five deviations below a similarity of 0.8.
 SLACK = 0.15
-#: Side of the squares in which a bucket's pairs are compared.
-SIDE = 2048
+#: Side of the squares in which a bucket's pairs are compared, and pairs of a star that one task confirms, about.
+SIDE, STAR_PAIRS = 2048, 256
 
 _RNG = np.random.default_rng(2014)
 _XOR = _RNG.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -131,11 +131,16 @@ def _confirm(size: int, percent: int):
 
 
 def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are alike enough. Only texts that stand in a pair are moved."""
+    """The pairs (u, v) of (u, v, parts) whose full sets are alike enough. Only texts that stand in a pair are moved.
+
+    A star's pairs are dealt into as many parts as its largest bucket asks for, each with its text.
+    """
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
     texts = docs.join(small(ids, ids.count()), "_id", "left_semi").dropDuplicates(["_id"])
-    of = lambda end: texts.select(F.col("_id").alias(end), F.col("_text").alias(f"t{end}"))
-    return pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(size, percent), "u long, v long")
+    dealt = pairs.select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
+    heads = dealt.select("u", "part").distinct().join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
+    tails = dealt.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v")
+    return tails.join(heads, ["u", "part"]).select("u", "v", "tu", "tv").mapInArrow(_confirm(size, percent), "u long, v long")
 
 
 def _short(size: int):
@@ -212,24 +217,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.filter("_id is not null and _n > 0")
     reps = named.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"))
     placed = reps.select("_rep", F.explode("_bands").alias("_bucket"))
-    stars = placed.groupBy("_bucket").agg(F.min("_rep").alias("_star"), F.max("_rep").alias("_end")).filter("_star < _end")
+    stars = placed.groupBy("_bucket").agg(F.min("_rep").alias("_star"), F.max("_rep").alias("_end"), F.count("*").alias("_size")).filter("_star < _end")
     members = cut(placed.join(stars, "_bucket"))
-    pairs = cut(members.filter("_rep <> _star").select(F.col("_star").alias("u"), F.col("_rep").alias("v")).distinct())
+    parts = F.max(F.ceil(F.col("_size") / STAR_PAIRS)).alias("parts")
+    pairs = cut(members.filter("_rep <> _star").groupBy(F.col("_star").alias("u"), F.col("_rep").alias("v")).agg(parts))
     seen, edges = pairs, cut(_links(pairs, docs, size, percent))
 
     def placed_in(edges: DataFrame) -> DataFrame:
         """Members of the buckets that lie in several components still."""
         comps = components(edges)
         own = members.join(comps.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("_comp", F.coalesce("comp", "_rep")).drop("comp")
-        mixed = own.groupBy("_bucket").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), F.count("*").alias("_size")).filter("_lo < _hi")
+        mixed = own.groupBy("_bucket").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo < _hi")
         return cut(own.join(mixed, "_bucket"))
 
     left = placed_in(edges)
     second = left.filter("_rep = _end").select("_bucket", F.col("_comp").alias("_other")).distinct()
-    pairs = left.join(second, "_bucket").filter("_comp <> _other").select(F.least("_rep", "_end").alias("u"), F.greatest("_rep", "_end").alias("v")).distinct()
+    pairs = left.join(second, "_bucket").filter("_comp <> _other").groupBy(F.col("_end").alias("u"), F.col("_rep").alias("v")).agg(parts)
+    # A pair that was confirmed lies in one component by now; one that wasn't has the other end as u.
+    seen = seen.select(F.col("u").alias("v"), F.col("v").alias("u"))
     pairs = cut(pairs.join(seen, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
-        seen, edges = seen.unionByName(pairs), cut(edges.unionByName(_links(pairs, docs, size, percent)))
+        edges = cut(edges.unionByName(_links(pairs, docs, size, percent)))
         left = placed_in(edges)
     if not left.isEmpty():
         facts = named.groupBy(F.col("_id").alias("_rep")).agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
@@ -240,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         square = square.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
             "_bucket", F.least("_part", "_at").alias("_i"), F.greatest("_part", "_at").alias("_j"), F.when(F.col("_part") == F.col("_at"), 2).otherwise(F.when(F.col("_part") < F.col("_at"), 0).otherwise(1)).alias("_side"), "_rep", "_comp", "_n", "_sig", "_set")
         pairs = square.groupBy("_bucket", "_i", "_j").applyInArrow(_square(percent), "u long, v long").distinct()
-        pairs = cut(pairs.join(seen, ["u", "v"], "left_anti"))
+        pairs = cut(pairs.withColumn("parts", F.lit(1).cast("long")))
         if not pairs.isEmpty():
             edges = edges.unionByName(_links(pairs, docs, size, percent))
     comps = components(edges)
