@@ -159,8 +159,15 @@ def test_substring_dedup(request, which):
     assert sorted(got, key=key) == sorted(brute_repeats(corpus() if which == "docs" else AWKWARD), key=key)
 
 
+def test_blocks_grow_with_the_square_root_of_the_corpus():
+    assert substring.block_sizes(10**9, 1 << 21, 1 << 20) == (1 << 21, 1 << 20)
+    block, items = substring.block_sizes(10**14, 1 << 21, 1 << 20)
+    assert 1.7e8 < block < 1.9e8 and abs(block * items / 10**14 - substring.MESSAGE_ITEMS) < 1
+
+
 def test_substring_dedup_over_many_blocks(docs, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(substring, "MESSAGE_ITEMS", 0)
     monkeypatch.setattr(substring, "OWNER_ITEMS", 64)
     got = {(r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.remove_repeats(docs, join=True).collect()}
     assert got == set(brute_repeats(corpus()))
@@ -293,6 +300,7 @@ def test_packing_over_a_tree_of_groups(docs, monkeypatch):
 def test_language_model(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(lm, "BLOCK_CHARS", 700)
+        monkeypatch.setattr(substring, "MESSAGE_ITEMS", 0)
         monkeypatch.setattr(lm, "OWNER_ITEMS", 8)
     got = {r.doc_id: r for r in lm.scores(docs, remainder(F.col("doc_id"), 5) != 1).collect()}
     texts = {i: [*words((t or "").translate(LOWER)), "\0"] for i, t, *_ in corpus()}

@@ -22,11 +22,6 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def lower_ascii(c: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")

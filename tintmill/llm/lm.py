@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .substring import _bits
+from .substring import _bits, block_sizes
 from .textops import Words, chunks, deltas, undeltas
 
 DISCOUNT = 0.75
+#: Characters of a block and n-grams of an owner at least; both grow with the corpus's square root.
 BLOCK_CHARS = 1 << 22
-#: N-grams an owner adds, about.
 OWNER_ITEMS = 1 << 20
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -89,8 +89,9 @@ def _rows(t: pa.Table) -> list[tuple]:
 
 class _Sizes:
     def __init__(self, chars: int, tokens: int):
-        self.blocks = max(1, -(-chars // BLOCK_CHARS))
-        self.owner_bits = _bits(tokens / OWNER_ITEMS)
+        block, items = block_sizes(chars, BLOCK_CHARS, OWNER_ITEMS)
+        self.blocks = max(1, -(-chars // block))
+        self.owner_bits = _bits(tokens / items)
         # A state's arcs are dealt to several owners, more the more there are, so that no state is one owner's.
         self.parts = self.owner_bits // 4
         self.bits = self.owner_bits - self.parts

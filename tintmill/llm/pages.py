@@ -164,9 +164,6 @@ def _attr_features(source: str) -> np.ndarray:
     return found
 
 
-NUMBERS = 24
-
-
 def features(page: Page) -> np.ndarray:
     """A row of features for each node of a page."""
     n = len(page.tag)

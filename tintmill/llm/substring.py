@@ -17,8 +17,6 @@ costs its owner one entry a block; no task gathers a key's occurrences.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +27,11 @@ from .common import total_chars
 from .textops import Words, deltas, inside, ngrams, undeltas
 
 WINDOW = 20
-#: Characters of text a block holds, about.
-BLOCK_CHARS = 1 << 21
+#: Characters of text a block holds at least, about, and entries of a block's message to an owner.
+BLOCK_CHARS, MESSAGE_ITEMS = 1 << 21, 64
 #: Cells of a count-min row for each window of the corpus, about, and rows.
 CELLS_A_WINDOW, ROWS = 8, 2
-#: Cells a block sends to one owner in all, about; entries likewise.
+#: Cells or entries that come to one owner at least, about.
 OWNER_ITEMS = 1 << 20
 
 _MESSAGE = "_block long, _owner long, _row int, _data binary"
@@ -45,15 +43,26 @@ def _bits(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(n, 1)))))
 
 
+def block_sizes(chars: int, block_chars: int, owner_items: int) -> tuple[int, int]:
+    """Characters of a block and items of an owner, for a corpus of so many characters.
+
+    Both grow with its square root from where a message would hold fewer than ``MESSAGE_ITEMS``
+    items otherwise (at 100 TB: blocks of 180 MB), so that messages stay worth their overhead.
+    """
+    block = max(block_chars, int((5 * MESSAGE_ITEMS * chars) ** 0.5))
+    return block, max(owner_items, block // 5)
+
+
 class _Plan:
     """Sizes that follow from the corpus: window length, log2 of a row's cells and of the owners."""
 
     def __init__(self, chars: int, window: int):
         windows = max(1, chars // 5)
+        block, items = block_sizes(chars, BLOCK_CHARS, OWNER_ITEMS)
         self.window = window
-        self.blocks = max(1, -(-chars // BLOCK_CHARS))
+        self.blocks = max(1, -(-chars // block))
         self.cell_bits = min(62, max(16, _bits(windows * CELLS_A_WINDOW)))
-        self.owner_bits = min(self.cell_bits, _bits(windows / OWNER_ITEMS))
+        self.owner_bits = min(self.cell_bits, _bits(windows / items))
 
 
 def _read(t: pa.Table) -> tuple[np.ndarray, list, Words]:
