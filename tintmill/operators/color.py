@@ -2,12 +2,15 @@
 
 The recursion is unrolled by doubling. ``reach`` holds the colors over fewer than 2^k hops, ``hops``
 the paths of exactly 2^k; a round adds what the paths reach and doubles them, so a chain of a
-million spends takes twenty rounds. Rows are distinct (or summed) after each round, which keeps the
-work in proportion to ancestors, not to paths.
+million spends takes twenty rounds. Each round's rows are distinct (or summed), which keeps the work
+in proportion to ancestors, not to paths.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +38,38 @@ def _edges(spends: DataFrame, value: Column | None) -> DataFrame:
 
 
 def _double(base: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seq, block[, w]) reached from ``base`` along ``edges`` (child, parent[, w]); with w, products are summed."""
+    """(seq, block[, w]) reached from ``base`` along ``edges`` (child, parent[, w]); with w, products are summed.
+
+    What a round adds is kept as a table of its own, distinct (or summed) in itself; the rounds are
+    put together at the end. A round's two products don't need each other and run at once.
+    """
     weighted = "w" in edges.columns
-    reach, hops = base, written(edges)
-    while not hops.isEmpty():
+    rounds, hops = [base], written(edges)
+
+    def add() -> DataFrame:
         down = hops.withColumnRenamed("w", "v") if weighted else hops
-        step = down.join(reach.withColumnRenamed("seq", "parent"), "parent")
+        step = down.join(reduce(DataFrame.unionByName, rounds).withColumnRenamed("seq", "parent"), "parent")
         if weighted:
             step = step.select(F.col("child").alias("seq"), "block", (F.col("v") * F.col("w")).alias("w"))
-            reach = written(reach.unionByName(step).groupBy("seq", "block").agg(F.sum("w").alias("w")))
-            next_ = hops.select("child", F.col("parent").alias("mid"), F.col("w").alias("v")).join(hops.select(F.col("child").alias("mid"), "parent", "w"), "mid")
-            hops = written(next_.select("child", "parent", (F.col("v") * F.col("w")).alias("w")).groupBy("child", "parent").agg(F.sum("w").alias("w")))
-        else:
-            step = step.select(F.col("child").alias("seq"), "block")
-            reach = written(reach.unionByName(step).distinct())
-            hops = written(hops.select("child", F.col("parent").alias("mid")).join(hops.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").distinct())
-    return reach
+            return written(step.groupBy("seq", "block").agg(F.sum("w").alias("w")))
+        return written(step.select(F.col("child").alias("seq"), "block").distinct())
+
+    def double() -> DataFrame:
+        up = hops.withColumnRenamed("parent", "mid")
+        down = hops.withColumnRenamed("child", "mid")
+        if weighted:
+            both = up.withColumnRenamed("w", "v").join(down, "mid").select("child", "parent", (F.col("v") * F.col("w")).alias("w"))
+            return written(both.groupBy("child", "parent").agg(F.sum("w").alias("w")))
+        return written(up.join(down, "mid").select("child", "parent").distinct())
+
+    with ThreadPoolExecutor(2) as pool:
+        while not hops.isEmpty():
+            added, doubled = pool.submit(add), pool.submit(double)
+            more, next_ = added.result(), doubled.result()
+            rounds.append(more)
+            hops = next_
+    every = reduce(DataFrame.unionByName, rounds)
+    return every.groupBy("seq", "block").agg(F.sum("w").alias("w")) if weighted else every.distinct()
 
 
 def _checked_blocks(records: DataFrame) -> DataFrame:
