@@ -37,6 +37,31 @@ def test_recall_of_neighbours(spark, scale):
     assert hit / (20 * 150) >= 0.9
 
 
+def found_of_best(spark, x, k=20):
+    """Share of the true nearest that the search finds, for every twentieth of the vectors."""
+    got = ann.search(frame(spark, enumerate(x.tolist())), F.col("vec_id") % 20 == 0, k).toPandas()
+    x = x.astype(np.float32).astype(float)
+    hit, asked = 0, range(0, len(x), 20)
+    for q in asked:
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), -s))[:k]) & set(got["vec_id"][got["query_id"] == q]))
+    return hit / (k * len(asked))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    assert [r.vec_id for r in rows] == list(range(len(rows)))
+    assert found_of_best(spark, np.array([r.embedding for r in rows])) >= 0.95
+
+
+@pytest.mark.parametrize("size", [(1500, 64), (2000, 128)])
+def test_recall_without_clear_neighbours(spark, size):
+    x = np.random.default_rng(11).normal(size=size)
+    assert found_of_best(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.95
+
+
 def test_blocks_and_parts_meet(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "QUERIES", 7)

@@ -4,7 +4,10 @@ Each of ``PROJECTIONS`` random lines gives one sorted array of the vectors' proj
 A query opens a window around its own projection on every line and widens all windows together
 (virtual rehashing: the radius grows by a factor, nothing is hashed again). A vector collides on a
 line when it lies in the window there. Once enough vectors collide on at least ``THRESHOLD`` of the
-lines, those are verified with exact inner products.
+lines, those are verified with exact inner products. The k-th best of them tells how far a true
+neighbour can lie, so the windows are widened once more, to the radius at which a vector that far
+collides often enough with probability ``SURE``, and what that adds is verified too. Expected recall
+so is at least ``SURE`` whatever the table's size and dimension.
 
 The largest inner product becomes the least distance by one more coordinate, which lifts every
 vector to the largest norm and is 0 for queries. All vectors are indexed, in blocks of bounded size;
@@ -14,6 +17,8 @@ is a few rows a query and block.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +31,27 @@ PROJECTIONS, THRESHOLD = 64, 0.85
 VERIFY, WIDEN, SAMPLE = 0.22, 1.06, 256
 #: Least number of verified rows for each neighbour asked for.
 VERIFY_EACH = 16
+#: Probability with which a vector as far as the k-th best found is verified, at least.
+SURE = 0.95
 BLOCK, QUERIES = 32_768, 512
 
 
+def span(sure: float, need: int) -> float:
+    """Radius, in distances of a vector, at which it collides on ``need`` lines at least with probability ``sure``."""
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        # A line's normal projection of the difference lies within the radius with probability p.
+        p = math.erf(mid / math.sqrt(2))
+        often = sum(math.comb(PROJECTIONS, j) * p**j * (1 - p) ** (PROJECTIONS - j) for j in range(need, PROJECTIONS + 1))
+        low, high = (mid, high) if often < sure else (low, mid)
+    return high
+
+
+NEED = math.ceil(THRESHOLD * PROJECTIONS)
+SPAN = span(SURE, NEED)
+
+
 class Index:
     """Sorted projections of one block of vectors."""
 
@@ -48,13 +71,14 @@ class Index:
         lines = range(PROJECTIONS)
         return np.array([np.searchsorted(self.places[:, k], centre[k] - radius, "left") for k in lines]), np.array([np.searchsorted(self.places[:, k], centre[k] + radius, "right") for k in lines])
 
-    def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Rows that collide on enough lines, once they are ``least`` at least (or all rows)."""
-        n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
+    def candidates(self, query: np.ndarray, least: int, kth) -> np.ndarray:
+        """Rows that collide on enough lines (or all rows): ``least`` at least, and all that surely do if as near as ``kth`` of those."""
+        n, need = len(self.ids), NEED
         if n <= least:
             return np.arange(n)
         # Scaled to the common norm: that keeps the order of inner products and centres the windows.
-        centre = np.append(query * (self.norm / np.sqrt(query @ query)), 0.0) @ self.lines
+        length = float(np.sqrt(query @ query))
+        centre = np.append(query * (self.norm / length), 0.0) @ self.lines
         # The first radius is the one at which the wanted share of a few rows collides often enough.
         reach = np.partition(np.abs(self.sample - centre), need - 1, axis=1)[:, need - 1]
         radius = max(float(np.quantile(reach, min(1.0, least / n))), 1e-9)
@@ -63,18 +87,31 @@ class Index:
         for k in range(PROJECTIONS):
             count[self.order[k, : low[k]]] -= 1
             count[self.order[k, high[k] :]] -= 1
-        while (count >= need).sum() < least and not ((low == 0).all() and (high == n).all()):
-            radius *= WIDEN
+
+        def widen(radius: float) -> None:
+            nonlocal low, high
             left, right = self.window(centre, radius)
             for k in range(PROJECTIONS):
                 # Only what the window gains; within a line no row comes twice.
                 count[self.order[k, left[k] : low[k]]] += 1
                 count[self.order[k, high[k] : right[k]]] += 1
             low, high = left, right
+
+        while (count >= need).sum() < least and not ((low == 0).all() and (high == n).all()):
+            radius *= WIDEN
+            widen(radius)
+        # Distances from the centre follow from inner products, as all lifted vectors have the common norm.
+        sure = SPAN * math.sqrt(max(0.0, 2 * self.norm * (self.norm - kth(np.flatnonzero(count >= need)) / length)))
+        if sure > radius:
+            widen(sure)
         return np.flatnonzero(count >= need)
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(query, max(VERIFY_EACH * k, int(VERIFY * len(self.ids))) + 1)
+        def kth(rows: np.ndarray) -> float:
+            rough = self.vectors[rows[self.ids[rows] != query_id]] @ query
+            return float(np.partition(rough, -k)[-k]) if len(rough) >= k else -math.inf
+
+        rows = self.candidates(query, max(VERIFY_EACH * k, int(VERIFY * len(self.ids))) + 1, kth)
         rows = rows[self.ids[rows] != query_id]
         # A product of all leaves those that can be among the nearest, whatever its rounding.
         rough = self.vectors[rows] @ query
