@@ -62,6 +62,35 @@ def test_recall_without_clear_neighbours(spark, size):
     assert found_of_best(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.95
 
 
+@pytest.mark.parametrize("norms", ["one", "spread"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one":
+        x[77] *= 10
+    else:
+        x *= rng.lognormal(0, 0.3, size=(2000, 1))
+    assert found_of_best(spark, x) >= 0.95
+
+
+def test_a_long_vector_costs_no_verification(monkeypatch):
+    rows, candidates = [], ann.Index.candidates
+    monkeypatch.setattr(ann.Index, "candidates", lambda *a: (found := candidates(*a), rows.append(len(found)))[0])
+    x = np.random.default_rng(11).normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    verified = []
+    for factor in (1, 10):
+        x[77] *= factor
+        rows.clear()
+        index = ann.Bands(np.arange(8192), x, 20)
+        for q in range(0, 8192, 400):
+            index.nearest(q, x[q], 20)
+        verified.append(sum(rows))
+    # Besides the band of the long vector, which is verified whole.
+    assert verified[1] <= 1.05 * verified[0] + 21 * 320
+
+
 def test_blocks_and_parts_meet(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "QUERIES", 7)

@@ -10,7 +10,10 @@ collides often enough with probability ``SURE``, and what that adds is verified
 so is at least ``SURE`` whatever the table's size and dimension.
 
 The largest inner product becomes the least distance by one more coordinate, which lifts every
-vector to the largest norm and is 0 for queries. All vectors are indexed, in blocks of bounded size;
+vector to the largest norm and is 0 for queries. So that this coordinate doesn't drown the others
+where norms differ, a block is indexed in bands of norms within a factor of ``BAND``, each lifted to
+its own largest. A query meets the bands from the longest vectors down, and stops where a band's
+norm can't reach the k-th best inner product any more. All vectors are indexed, in blocks of bounded size;
 the stated query set meets every block, and each block keeps a query's nearest, so what is merged
 is a few rows a query and block.
 """
@@ -33,6 +36,8 @@ VERIFY, WIDEN, SAMPLE = 0.22, 1.06, 256
 VERIFY_EACH = 16
 #: Probability with which a vector as far as the k-th best found is verified, at least.
 SURE = 0.95
+#: Factor that norms of a band lie within, unless all of it is verified anyway.
+BAND = 1.1
 BLOCK, QUERIES = 32_768, 512
 
 
@@ -53,7 +58,7 @@ SPAN = span(SURE, NEED)
 
 
 class Index:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one band of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, seed: int = 3):
         order = np.argsort(ids, kind="stable")
@@ -106,10 +111,12 @@ class Index:
             widen(sure)
         return np.flatnonzero(count >= need)
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query_id: int, query: np.ndarray, k: int, known: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest found here; of no use are those under ``known``, the k-th best found elsewhere."""
+
         def kth(rows: np.ndarray) -> float:
             rough = self.vectors[rows[self.ids[rows] != query_id]] @ query
-            return float(np.partition(rough, -k)[-k]) if len(rough) >= k else -math.inf
+            return max(known, float(np.partition(rough, -k)[-k]) if len(rough) >= k else -math.inf)
 
         rows = self.candidates(query, max(VERIFY_EACH * k, int(VERIFY * len(self.ids))) + 1, kth)
         rows = rows[self.ids[rows] != query_id]
@@ -122,19 +129,47 @@ class Index:
         return self.ids[rows][best], score[best]
 
 
+class Bands:
+    """Indexes of one block's vectors in bands of like norms, from the largest norm down."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        order = np.argsort(-norms, kind="stable")
+        falling = -norms[order]
+        self.bands, at = [], 0
+        while at < len(order):
+            # A band of so few rows is verified whole, however wide.
+            end = max(int(np.searchsorted(falling, falling[at] / BAND, "right")), min(at + VERIFY_EACH * k, len(order)))
+            self.bands.append(Index(ids[order[at:end]], vectors[order[at:end]], float(-falling[at])))
+            at = end
+
+    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, score, known = np.empty(0, np.int64), np.empty(0), -math.inf
+        length = float(np.sqrt(query @ query))
+        for band in self.bands:
+            if band.norm * length * (1 + 1e-9) < known:
+                break
+            near, own = band.nearest(query_id, query, k, known)
+            ids, score = np.append(ids, near), np.append(score, own)
+            best = np.lexsort((ids, -score))[:k]
+            ids, score = ids[best], score[best]
+            known = float(score[-1]) if len(score) == k else known
+        return ids, score
+
+
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision; equal vectors get equal ones."""
     return (vectors * query).sum(axis=1)
 
 
-def _search(k: int, norm: float):
+def _search(k: int):
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("_id").to_numpy()
         vectors = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         query = t.column("_query").to_numpy(zero_copy_only=False).astype(bool)
         out: list[tuple] = []
         if query.any() and not query.all():
-            index = Index(ids[~query], vectors[~query], norm)
+            index = Bands(ids[~query], vectors[~query], k)
             for q, v in zip(ids[query], vectors[query]):
                 near, score = index.nearest(int(q), v, k)
                 out += [(int(q), int(a), float(b)) for a, b in zip(near, score)]
@@ -165,12 +200,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     if sizes is None:
         return own.select(F.col("_id").alias("query_id"), F.lit(1).alias("rank"), F.col("_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     own = cut(own.filter(F.size("_v") == sizes["size"]).groupBy("_id").agg(F.min("_v").alias("_v"), F.max("_query").alias("_query")))
-    n, asked, norm = own.agg(F.count("*"), F.count_if("_query"), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    n, asked = own.agg(F.count("*"), F.count_if("_query")).first()
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
     # A block of the index meets every part of the query set, and so does a query every block.
     block, part = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(parts))
     index = own.select("_id", "_v", F.lit(False).alias("_query"), block.alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
     queries = own.filter("_query").select("_id", "_v", "_query", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"), part.alias("_part"))
-    found = index.unionByName(queries).groupBy("_block", "_part").applyInArrow(_search(k, float(norm or 1.0)), "query_id long, vec_id long, score double")
+    found = index.unionByName(queries).groupBy("_block", "_part").applyInArrow(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
