@@ -161,6 +161,29 @@ def test_markup_is_read_leniently(spark, trees):
     assert pages.extract(df.limit(0), trees=trees).collect() == []
 
 
+def test_unclosed_elements_do_not_swallow_the_page(spark, trees):
+    body = " ".join("Words of a main text, which go on for some time, as they do.".split() * 4)
+    names = ["button", "svg", "select", "option", "datalist", "object", "math", "canvas", "audio", "video", "template", "iframe", "noscript"]
+    page = "<html><body><nav><a href=/>home</a><{0}></nav><article><p>{1}</p><p>{1}</p></article>{2}</body></html>"
+    rows = [(k, page.format(x, body, "")) for k, x in enumerate(names)]
+    # A later element of the same name, closed, isn't the end of it.
+    rows += [(100 + k, page.format(x, body, f"<footer><{x}>go</{x}></footer>")) for k, x in enumerate(names) if x not in ("object", "math")]
+    rows += [(200, page.format('svg><path d="M0 0"/', body, "")), (201, page.format("b", body, "<script>var x = '<p>no</p>'"))]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, html string"), trees=trees).collect()}
+    assert got == {k: f"{body}\n{body}" for k, _ in rows}
+
+
+def test_text_in_formulas_and_left_out_elements(trees):
+    body = " ".join("Words of a main text, which go on for some time, as they do.".split() * 4)
+    formula = "<math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math>"
+    texts = pages.main_text([pages.Page(f"<article><p>{body} {formula} {body}</p><p>{body} <object data=x>drawn</object></p><button>a<script>'<button>'</script>b</button><svg><svg><text>x</text></svg><text>y</text></svg></article>")], trees)
+    assert texts == [f"{body} a=2 {body}\n{body} drawn"]
+
+
+def test_many_unclosed_elements_are_read_once():
+    assert pages.Page("<button>x " * 50_000).runs == [(0, " ".join("x" * 50_000), 0, 0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_articles_of_the_table(spark, trees):
     borders = re.compile(r"</?(?:p|h1|h2|h3|ul|li|article)\b[^>]*>")

@@ -24,16 +24,19 @@ from pyspark.sql.types import StructType
 
 from .textops import chunks
 
-# Fixed values of HTML: elements that never have content, whose content is no markup, and that stand in lines of text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math textarea title select option datalist button canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
+# Fixed values of HTML: elements that never have content, whose content is left out, of these the ones that hold no markup, and those that stand in lines of text.
+VOID = frozenset("area base br circle col ellipse embed hr img input line link meta param path polygon polyline rect source stop track use wbr".split())
+RAW = frozenset("script style template noscript iframe svg annotation annotation-xml textarea title select option datalist button canvas audio video".split())
+SWALLOW = frozenset("script style textarea title".split())
+_MATHS = "math menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+INLINE = frozenset(f"a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr br img input {_MATHS}".split())
 #: Elements that a start tag of the key closes if they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block elements that may hold their like; an open paragraph ends at any of them, and at a paragraph.
 SCOPES = frozenset("table td th ul ol div section article main aside body html blockquote form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_RAW_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(SWALLOW))})(?=[\s/>]).*?(?:</\1\b[^>]*>|\Z)|<(/?)({'|'.join(sorted(RAW - SWALLOW, key=len, reverse=True))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -55,6 +58,19 @@ TAGS = "article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote p
 _TAG = {t: k for k, t in enumerate(TAGS)}
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where elements whose content is left out end, by the end of their start tag; those without end tag aren't listed."""
+    open_: dict[str, list[int]] = {}
+    found = {}
+    for m in _RAW_TAG.finditer(source):
+        if m[3] and m[2]:
+            if starts := open_.get(m[3].lower()):
+                found[starts.pop()] = m.end()
+        elif m[3] and not m[4].endswith("/"):
+            open_.setdefault(m[3].lower(), []).append(m.end())
+    return found
+
+
 class Page:
     """Block elements of a page in page order, with the text runs between their borders."""
 
@@ -67,6 +83,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, inline, texts, linked, tags, at, end = [0], [], [], 0, 0, 0, len(source)
+        ends: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal texts, linked, tags
@@ -91,7 +108,11 @@ class Page:
                 continue
             closing = m[1] == "/"
             if name in RAW:
-                if not closing and not m[3].endswith("/"):
+                if not closing and name not in SWALLOW:
+                    ends = _ends(source) if ends is None else ends
+                    # Without its end tag the tag alone goes.
+                    at = ends.get(at, at)
+                elif not closing and not m[3].endswith("/"):
                     found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                     at = found.end() if found else end
                 continue
