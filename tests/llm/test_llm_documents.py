@@ -392,3 +392,12 @@ def test_isotonic_fit_never_falls():
     x = rng.normal(size=300)
     knots, values = quality.isotonic(x, (rng.random(300) < 1 / (1 + np.exp(-3 * x))).astype(float))
     assert (np.diff(knots) > 0).all() and values[0] < 0.3 and values[-1] > 0.7
+
+
+def test_licences_with_their_title_and_the_third_clause(spark):
+    texts = {k: t for k, t in licences.KNOWN if t.startswith(("Permission", "Redistribution", "This software"))}
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    bsd3 = texts["BSD-2-Clause"].replace("THIS SOFTWARE", third + "THIS SOFTWARE", 1)
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Ann\n\n" + texts["MIT"], "MIT"), (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Ann\nAll rights reserved.\n\n" + bsd3, "BSD-3-Clause"), (3, bsd3, "BSD-3-Clause"), (4, "zlib License\n\n" + texts["Zlib"], "Zlib"), (5, "MIT License\n\nMore words\n\n" + texts["MIT"], None)]
+    got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == {r[0]: r[2] for r in rows}

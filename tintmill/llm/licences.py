@@ -69,6 +69,28 @@ Permission is granted to anyone to use this software for any purpose, including
     ),
 ]
 
+# The third clause stands between the conditions and the disclaimer of the shorter licence.
+KNOWN += [
+    (
+        "BSD-3-Clause",
+        dict(KNOWN)["BSD-2-Clause"].replace(
+            "THIS SOFTWARE IS",
+            "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS",
+            1,
+        ),
+    )
+]
+
+# Usual title lines, with which a licence's text is the same licence.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+KNOWN += [(name, f"{title}\n\n{text}") for name, text in KNOWN if "\n" in text for title in TITLES[name]]
+
 _COPYRIGHT = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)"
 
 
