@@ -401,3 +401,40 @@ def test_licences_with_their_title_and_the_third_clause(spark):
     rows = [(1, "MIT License\n\nCopyright (c) 2020 Ann\n\n" + texts["MIT"], "MIT"), (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Ann\nAll rights reserved.\n\n" + bsd3, "BSD-3-Clause"), (3, bsd3, "BSD-3-Clause"), (4, "zlib License\n\n" + texts["Zlib"], "Zlib"), (5, "MIT License\n\nMore words\n\n" + texts["MIT"], None)]
     got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {r.doc_id: r.license_id for r in got} == {r[0]: r[2] for r in rows}
+
+
+def thue_morse(length=2048):
+    """A string over a and b and its complement: they collide under every polynomial hash modulo a power of two."""
+    first = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+    return first, first.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b), (5, " ".join(a)), (6, " ".join(b)), (7, b.upper())]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], KIND)
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect() if r.doc_id < 3} == {1: 0, 2: 0}
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(df.filter("doc_id in (3, 4, 5, 6, 7)"), size=3000).collect()}
+    assert near == {3: 3, 4: 4, 5: 5, 6: 6, 7: 4}
+    scored = {r.doc_id: r for r in lm.scores(df, F.col("doc_id") == 3).collect()}
+    assert (scored[3].n_known, scored[4].n_known, scored[7].n_known) == (2, 1, 1)
+
+
+def test_hashes_follow_words_alone():
+    rng = random.Random(4)
+    pick = ["a", "bb", "x" * 8, "x" * 9, "y" * 70, "y" * 71, "É", "z" * 16, "z" * 17]
+    own = textops.Words([rng.choice(["", " ", "\n"]) + "\t".join(rng.choice(pick) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(60)] + [None, "", "bb a", " bb\n\na "])
+    spelt = [own.bytes[a:b].tobytes() for a, b in zip(own.starts, own.ends)]
+    for which in (0, 1):
+        h = own.hashes(which)
+        for n in (1, 2, 3, 7, 20):
+            seen = {}
+            for k, g in enumerate(textops.ngrams(h, n, which).tolist()):
+                assert seen.setdefault(tuple(spelt[k : k + n]), g) == g
+            assert len(set(seen.values())) == len(seen)
+    whole = own.digests()
+    seen = {}
+    for k in range(len(own.count)):
+        assert seen.setdefault(tuple(spelt[own.first[k] : own.first[k + 1]]), tuple(whole[k])) == tuple(whole[k])
+    assert len(set(seen.values())) == len(seen)

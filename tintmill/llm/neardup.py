@@ -5,7 +5,8 @@ greatest, so 160 values cost 80 hash evaluations a shingle. Five values from fiv
 a band; documents that agree on a band are candidates. A pair at similarity 0.8 misses all 32 bands
 with probability (1 - 0.8**5)**32 = 3e-6. Links are confirmed on the full shingle sets.
 
-Equal word sequences are one node from the start. A bucket's members are checked against a star,
+Equal word sequences, told by a 128-bit cryptographic digest of the words, are one node from the
+start. A bucket's members are checked against a star,
 its least member, then against a second star. Where members still lie in different components,
 the bucket is compared in squares of bounded side, to which the members bring their sets as hashes.
 A square gives only links, and of those only what joins components: no candidate pair leaves it.
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import WORD, cut, small
-from .textops import _WORD, Words, chunks, inside, mix, ngrams, powers
+from .textops import Words, chunks, inside, mix, ngrams
 
 PERMUTATIONS, BAND = 80, 5
-#: Signature agreement this far under the similarity rules a pair out in a square: five deviations below a similarity of 0.8.
-SLACK = 0.15
+#: Signature agreement this far under the similarity rules a pair out in a square: eight deviations below a similarity of 0.8.
+SLACK = 0.25
 #: Side of the squares in which a bucket's pairs are compared, and pairs of a star that one task confirms, about.
 SIDE, STAR_PAIRS = 2048, 256
 
@@ -36,17 +37,6 @@ _MUL = _RNG.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SIGNED = "_id long, _n long, _k1 long, _k2 long, _bands array<long>, _sig binary"
 
 
-def _sequence(words: Words, h: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of each text's whole word sequence."""
-    base = _WORD[which]
-    place = np.arange(len(h)) - words.first[words.doc] if len(h) else np.zeros(0, np.int64)
-    out = words.count.astype(np.uint64)
-    full = np.flatnonzero(words.count)
-    if len(full):
-        out[full] += np.add.reduceat(h * powers(base, int(place.max()) + 1)[place], words.first[:-1][full])
-    return mix(out)
-
-
 def shingle_sets(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, one text after another, and where each text's begin.
 
@@ -56,7 +46,7 @@ def shingle_sets(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np
     g, doc = (ngrams(h, size)[at], words.doc[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     short = np.flatnonzero((words.count > 0) & (words.count < size))
     if len(short):
-        g, doc = np.concatenate([g, _sequence(words, h, 0)[short]]), np.concatenate([doc, short])
+        g, doc = np.concatenate([g, words.digests()[short, 0]]), np.concatenate([doc, short])
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     new = np.ones(len(g), bool)
@@ -87,14 +77,15 @@ def _sign(size: int):
                     bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + values[:, k::BAND] + np.uint64(k))
                 bands = mix(bands + np.arange(bands.shape[1], dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
                 sig = mix(values).astype(np.uint16)
+                whole = words.digests().view(np.int64)
                 where = np.full(b - a, -1)
                 where[full] = np.arange(len(full))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
                         pa.array(n, pa.int64()),
-                        pa.array(_sequence(words, h, 0).view(np.int64)),
-                        pa.array(_sequence(words, words.hashes(1), 1).view(np.int64)),
+                        pa.array(np.ascontiguousarray(whole[:, 0])),
+                        pa.array(np.ascontiguousarray(whole[:, 1])),
                         pa.array([bands[k] if k >= 0 else [] for k in where.tolist()], pa.list_(pa.int64())),
                         pa.array([sig[k].tobytes() if k >= 0 else b"" for k in where.tolist()], pa.binary()),
                     ],
@@ -130,13 +121,18 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The text of each id, the least in code point order where an id stands on several rows."""
+    return docs.join(small(ids, ids.count()), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of (u, v, parts) whose full sets are alike enough. Only texts that stand in a pair are moved.
 
     A star's pairs are dealt into as many parts as its largest bucket asks for, each with its text.
     """
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
-    texts = docs.join(small(ids, ids.count()), "_id", "left_semi").dropDuplicates(["_id"])
+    texts = _texts(docs, ids)
     dealt = pairs.select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
     heads = dealt.select("u", "part").distinct().join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
     tails = dealt.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v")
@@ -144,15 +140,14 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
 
 def _short(size: int):
-    """Sets as 40-bit hashes, five bytes each."""
+    """Sets as 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for a, b, texts in chunks(batch.column("_text")):
                 words = Words(texts, lower=True)
                 g, first = shingle_sets(words, words.hashes(0), size)
-                data = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, 3:]
-                sets = [data[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+                sets = [g[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), pa.array(sets, pa.binary())], names=["_rep", "_set"])
 
     return run
@@ -163,10 +158,8 @@ def _square(percent: int):
         side, ids, comp, n = (np.asarray(t.column(k)) for k in ("_side", "_rep", "_comp", "_n"))
         sig = np.frombuffer(b"".join(t.column("_sig").to_pylist()), np.uint16).reshape(len(ids), -1)
         raw = t.column("_set").to_pylist()
-        size = np.array([len(x) // 5 for x in raw])
-        hashes = np.zeros((int(size.sum()), 8), np.uint8)
-        hashes[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
-        names, at = np.unique(hashes.view("<u8").reshape(-1), return_inverse=True)
+        size = np.array([len(x) // 8 for x in raw])
+        names, at = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(size)])
         mark = np.zeros(len(names), bool)
         root: dict[int, int] = {}
@@ -209,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     union are linked; ``component_id`` is the smallest id reachable, ``kept`` marks the document
     that has it. A null or empty text, or one without words, has an empty set, is linked with
     nothing and kept. A null id is kept and has a null component; its copies are still found. An id
-    on several rows is one document: the rows share a component. An empty table gives no rows;
+    on several rows is one document: rows of equal texts share a component, and where its texts
+    differ, links between different word sequences are confirmed on the least of them. An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
@@ -242,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not left.isEmpty():
         facts = named.groupBy(F.col("_id").alias("_rep")).agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
         ids = cut(left.select(F.col("_rep").alias("_id")).distinct())
-        sets = docs.join(small(ids, ids.count()), "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(_short(size), "_rep long, _set binary")
+        sets = _texts(docs, ids).mapInArrow(_short(size), "_rep long, _set binary")
         square = left.join(facts, "_rep").join(sets, "_rep").withColumn("_parts", F.ceil(F.col("_size") / SIDE).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_rep"), "_parts").cast("int"))
         # A member stands in the row of the squares from its part on, and in the column of those before it.
         square = square.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_M = (1 << 64) - 1
-#: Odd multipliers of the two byte polynomials and the two word polynomials.
-_BYTE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_WORD = (0xC2B2AE3D27D4EB4F | 5, 0x165667B19E3779F9 | 5)
-_TABLES = tuple(np.random.default_rng(k).integers(0, 1 << 64, 256, dtype=np.uint64) for k in (11, 12))
-#: Bytes or words that are hashed at a time.
+#: Seeds and odd multipliers of the two families of word and window hashes.
+_SEED = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LEFT = (0xC2B2AE3D27D4EB4F, 0x8CB92BA72F3D8DD7)
+_RIGHT = (0x165667B19E3779F9, 0x27D4EB2F165667C5)
+#: Words up to so many bytes are hashed by vectors of eight bytes, longer ones by a cryptographic digest.
+_LONG = 64
+#: Words that are hashed at a time.
 _RUN = 1 << 17
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        step[0] = 1
-        have = _powers[base] = np.cumprod(step, dtype=np.uint64)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,36 +51,71 @@ class Words:
         self.doc = np.repeat(np.arange(len(raw)), self.count)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        base, out = _BYTE[which], np.empty(len(self.starts), np.uint64)
-        back = pow(base, -1, 1 << 64)
-        k = 0
-        while k < len(out):
-            # A run of words at a time, so that no table of powers grows with the text.
-            last = max(k + 1, int(np.searchsorted(self.ends, self.starts[k] + _RUN)))
-            low, high = int(self.starts[k]), int(self.ends[last - 1])
-            starts, ends = self.starts[k:last] - low, self.ends[k:last] - low
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_TABLES[which][self.bytes[low:high]] * powers(base, high - low), out=sums[1:])
-            length = (ends - starts).astype(np.uint64)
-            out[k:last] = mix((sums[ends] - sums[starts]) * powers(back, high - low)[starts] + length * np.uint64(0xA0761D6478BD642F))
-            k = last
+        """A 64-bit hash of each word's bytes.
+
+        Eight bytes at a time are mixed into the state by a bijection, so words of at most eight bytes
+        and equal length never collide, and the algebra of sums and powers gives no colliding families.
+        """
+        out, pad = np.empty(len(self.starts), np.uint64), np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(pad) - 7, "<u8", pad.data, strides=(1,))
+        for a in range(0, len(out), _RUN):
+            starts, size = self.starts[a : a + _RUN], self.ends[a : a + _RUN] - self.starts[a : a + _RUN]
+            h = mix(size.astype(np.uint64) + np.uint64(_SEED[which]))
+            todo, done = np.flatnonzero(size <= _LONG), 0
+            while len(todo):
+                left = size[todo] - done
+                value = lanes[starts[todo] + done]
+                value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+                h[todo] = mix((h[todo] ^ value) * np.uint64(_LEFT[which]))
+                todo, done = todo[left > 8], done + 8
+            for k in np.flatnonzero(size > _LONG).tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(self.bytes[starts[k] : starts[k] + size[k]], digest_size=8, person=bytes([which])).digest(), "little")
+            out[a : a + _RUN] = h
         return out
 
+    def digests(self) -> np.ndarray:
+        """Two 64-bit halves of a cryptographic digest of each text's word sequence (its words joined by spaces); 0, 0 without words."""
+        b = self.bytes
+        keep = np.zeros(len(b) + 1, bool)
+        mark = np.zeros(len(b) + 1, np.int8)
+        mark[self.starts], mark[self.ends] = 1, -1
+        keep[: len(b)] = np.cumsum(mark[: len(b)], dtype=np.int8) > 0
+        keep[self.ends] = True
+        place = np.cumsum(keep) - 1
+        plain = np.where(mark[: len(b)] < 0, np.uint8(32), b)[keep[: len(b)]]
+        out = np.zeros((len(self.count), 2), np.uint64)
+        full = np.flatnonzero(self.count)
+        begin, end = place[self.starts[self.first[:-1][full]]], place[self.ends[self.first[1:][full] - 1]]
+        for d, x, y in zip(full.tolist(), begin.tolist(), end.tolist()):
+            out[d] = np.frombuffer(hashlib.blake2b(plain[x:y], digest_size=16).digest(), "<u8")
+        return out
+
+
+def joined(x: np.ndarray, y: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the sequence x then y, from the hashes of both."""
+    z = (x * np.uint64(_LEFT[which])) ^ ((y + np.uint64(_SEED[which])) * np.uint64(_RIGHT[which]))
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(29))
+
 
 def ngrams(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hash of every n consecutive words, by their first word, ignoring text borders."""
+    """Hash of every n consecutive words, by their first word, ignoring text borders: halves are joined, by doubling."""
     size = len(hashes) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    base, out = _WORD[which], np.empty(size, np.uint64)
-    back = pow(base, -1, 1 << 64)
+    out = np.empty(size, np.uint64)
     for a in range(0, size, _RUN):
-        own = hashes[a : min(a + _RUN, size) + n - 1]
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(own * powers(base, len(own)), out=sums[1:])
-        out[a : a + _RUN] = mix((sums[n:] - sums[:-n]) * powers(back, len(own))[: len(own) - n + 1])
-    return out
+        power, width, own, length = hashes[a : min(a + _RUN, size) + n - 1], 1, None, 0
+        while True:
+            if n & width:
+                # What the lower bits of n have covered stands first, the next power of two after it.
+                own = power if own is None else joined(own[: len(power) - length], power[length:], which)
+                length += width
+            if length == n:
+                break
+            power, width = joined(power[:-width], power[width:], which), 2 * width
+        out[a : a + _RUN] = own[: min(_RUN, size - a)]
+    return mix(out)
 
 
 def inside(first: np.ndarray, n: int, total: int) -> np.ndarray:
