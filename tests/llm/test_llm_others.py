@@ -3,6 +3,7 @@
 import html
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -240,3 +241,24 @@ def test_the_pipeline_takes_awkward_documents(spark, tmp_path):
         for _, stage in c.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
         assert set(docs.columns) >= {"doc_id", "piece", "sequence_id"}
+
+
+def test_broken_markup_is_read_in_linear_time():
+    n = 1_000_000
+    cases = {
+        "<a ": n // 3, "<aaaa": n // 5, '<a b="': n // 6, "<a b='": n // 6, '<a ="x\' c=\'"': n // 12, "<!-- ": n // 5, "<! ": n // 3, "<script>": n // 8, "<script></scrip": n // 15, "<button>x ": n // 10,
+        "<div>": n // 5, "<h1>": n // 4, "<p>x": n // 4, "<b>x": n // 4, "</b>x": n // 5, "<": n, "<head>": n // 6,
+    }
+    for unit, times in cases.items():
+        for tail in ("", ">", '">'):
+            begun = time.time()
+            pages.Page(unit * times + tail)
+            assert time.time() - begun < 5, (unit, tail)
+
+
+def test_quotes_left_open_cost_no_text(trees):
+    body = " ".join("Words of a main text, which go on for some time, as they do.".split() * 4)
+    page = f"<body><article><p title=\"5\" tall\">{body}</p><p class='x>{body}</p></article></body>"
+    assert [t for _, t, _, _ in pages.Page(page).runs] == [body, body]
+    held = pages.Page(f"<article><p>{body}</p><noscript>shown without scripts</noscript><svg><text>drawn</text></svg><video>seen</video></article>")
+    assert [t for _, t, _, _ in held.runs] == [body, "shown without scripts", "drawn", "seen"]

@@ -12,8 +12,11 @@ The trees are trained here, on pages that ``make_page`` writes from many layouts
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,7 @@ from .textops import chunks
 
 # Fixed values of HTML: elements that never have content, whose content is left out, of these the ones that hold no markup, and those that stand in lines of text.
 VOID = frozenset("area base br circle col ellipse embed hr img input line link meta param path polygon polyline rect source stop track use wbr".split())
-RAW = frozenset("script style template noscript iframe svg annotation annotation-xml textarea title select option datalist button canvas audio video".split())
+RAW = frozenset("script style template iframe annotation annotation-xml textarea title select option datalist button".split())
 SWALLOW = frozenset("script style textarea title".split())
 _MATHS = "math menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
 INLINE = frozenset(f"a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr br img input {_MATHS}".split())
@@ -35,8 +38,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Block elements that may hold their like; an open paragraph ends at any of them, and at a paragraph.
 SCOPES = frozenset("table td th ul ol div section article main aside body html blockquote form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(SWALLOW))})(?=[\s/>]).*?(?:</\1\b[^>]*>|\Z)|<(/?)({'|'.join(sorted(RAW - SWALLOW, key=len, reverse=True))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: A tag: name and attributes up to its end. Quotes count after an equals sign only; the second form ignores them.
+_TAGS = tuple(re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({inside})>") for inside in (r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+""", r"[^>]*+"))
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -58,16 +61,55 @@ TAGS = "article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote p
 _TAG = {t: k for k, t in enumerate(TAGS)}
 
 
-def _ends(source: str) -> dict[int, int]:
-    """Where elements whose content is left out end, by the end of their start tag; those without end tag aren't listed."""
+def _markup(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, "/" of an end tag, lower-case name, attributes) of each tag; comments and declarations have no name.
+
+    What follows an element that holds no markup (a script, say) starts after its end tag. A comment
+    or such an element that isn't closed takes the rest. The first tag that has no end because of its
+    quotes makes quotes ordinary characters from there on, so no place is scanned again and again.
+    """
+    at, last, tag = 0, source.rfind(">"), _TAGS[0]
+    closed: dict[str, bool] = {}
+    while 0 <= (at := source.find("<", at)) <= last:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(source)
+            yield at, end, "", "", ""
+        elif source[at + 1] in "!?":
+            end = source.find(">", at) + 1
+            yield at, end, "", "", ""
+        else:
+            m = tag.match(source, at)
+            if m is None and tag is _TAGS[0] and _TAGS[1].match(source, at):
+                tag = _TAGS[1]
+                m = tag.match(source, at)
+            if m is None:
+                at += 1
+                continue
+            end, name = m.end(), m[2].lower()
+            if name in SWALLOW and not m[1] and not m[3].endswith("/"):
+                # Whether any end tag follows is asked once, when a search has failed.
+                found = _END_TAG[name].search(source, end) if closed.get(name, True) else None
+                closed[name] = found is not None
+                end = found.end() if found else len(source)
+            yield at, end, m[1], name, m[3]
+        at = end
+
+
+_END_TAG = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in SWALLOW}
+
+
+def _ends(tags: list[tuple[int, int, str, str, str]]) -> dict[int, int]:
+    """For start tags of elements whose content is left out, the place in ``tags`` of their end tag; those without one aren't listed."""
     open_: dict[str, list[int]] = {}
     found = {}
-    for m in _RAW_TAG.finditer(source):
-        if m[3] and m[2]:
-            if starts := open_.get(m[3].lower()):
-                found[starts.pop()] = m.end()
-        elif m[3] and not m[4].endswith("/"):
-            open_.setdefault(m[3].lower(), []).append(m.end())
+    for k, (_, _, slash, name, attrs) in enumerate(tags):
+        if name in RAW and name not in SWALLOW:
+            if slash:
+                if starts := open_.get(name):
+                    found[starts.pop()] = k
+            elif not attrs.endswith("/"):
+                open_.setdefault(name, []).append(k)
     return found
 
 
@@ -83,7 +125,11 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, inline, texts, linked, tags, at, end = [0], [], [], 0, 0, 0, len(source)
-        ends: dict[int, int] | None = None
+        # How many elements of a name are open, so that no stack is searched in vain.
+        open_, lined = Counter(), Counter()
+        markup = list(_markup(source))
+        ends = _ends(markup)
+        heads = [k for k, x in enumerate(markup) if x[3] == "head" and x[2] or x[3] == "body" and not x[2]]
 
         def flush() -> None:
             nonlocal texts, linked, tags
@@ -93,70 +139,75 @@ class Page:
                     self.runs.append((stack[-1], text, linked, tags))
             texts, linked, tags = [], 0, 0
 
+        def leave(depth: int) -> None:
+            open_.subtract(self.tag[x] for x in stack[depth:])
+            del stack[depth:], inline[:]
+            lined.clear()
+
+        here = -1
         while at < end:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                texts.append(source[at:])
-                linked += (end - at) * ("a" in inline)
-                break
-            if m.start() > at:
-                texts.append(source[at : m.start()])
-                linked += (m.start() - at) * ("a" in inline)
-            at = m.end()
-            name = m[2].lower() if m[2] else ""
+            here += 1
+            begin, after, slash, name, attrs = markup[here] if here < len(markup) else (end, end, "", "", "")
+            if begin > at:
+                texts.append(source[at:begin])
+                linked += (begin - at) * (lined["a"] > 0)
+            at, closing = after, slash == "/"
             if not name:
                 continue
-            closing = m[1] == "/"
             if name in RAW:
-                if not closing and name not in SWALLOW:
-                    ends = _ends(source) if ends is None else ends
-                    # Without its end tag the tag alone goes.
-                    at = ends.get(at, at)
-                elif not closing and not m[3].endswith("/"):
-                    found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = found.end() if found else end
+                # Without its end tag the tag alone goes.
+                if here in ends:
+                    here = ends[here]
+                    at = markup[here][1]
                 continue
             if name in INLINE:
                 tags += 1
                 if name == "br":
                     texts.append(" ")
                 elif name not in VOID:
-                    if closing and name in inline:
-                        del inline[len(inline) - 1 - inline[::-1].index(name) :]
-                    elif not closing:
+                    if not closing:
                         inline.append(name)
+                        lined[name] += 1
+                    elif lined[name]:
+                        gone = ""
+                        while gone != name:
+                            gone = inline.pop()
+                            lined[gone] -= 1
                 continue
             flush()
             if name in ("html", "body"):
                 if not closing and name == "body":
-                    self.attrs[0] = m[3]
+                    self.attrs[0] = attrs
                 continue
             if name == "head":
-                if not closing:
-                    found = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-                    at = (found.end() if found[0][1] == "/" else found.start()) if found else at
+                place = bisect.bisect_right(heads, here)
+                if not closing and place < len(heads):
+                    # The head is left out: on to its end tag, or to the body's start tag.
+                    here = heads[place] if markup[heads[place]][3] == "head" else heads[place] - 1
+                    at = markup[here][1]
                 continue
             if name in VOID:
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_[name] else ():
                     if self.tag[stack[k]] == name:
-                        del stack[k:], inline[:]
+                        leave(k)
                         break
                 continue
             shuts = CLOSES.get(name) or {"p"}
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in shuts) else ():
                 if self.tag[stack[k]] in shuts:
-                    del stack[k:], inline[:]
+                    leave(k)
                     break
                 if self.tag[stack[k]] in SCOPES:
                     break
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
-            self.attrs.append(m[3])
-            self.truth.append("data-truth" in m[3])
+            self.attrs.append(attrs)
+            self.truth.append("data-truth" in attrs)
             stack.append(len(self.tag) - 1)
+            open_[name] += 1
         flush()
 
 
