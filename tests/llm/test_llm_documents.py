@@ -304,26 +304,49 @@ def test_language_model(docs, monkeypatch, small):
         monkeypatch.setattr(lm, "OWNER_ITEMS", 8)
     got = {r.doc_id: r for r in lm.scores(docs, remainder(F.col("doc_id"), 5) != 1).collect()}
     texts = {i: [*words((t or "").translate(LOWER)), "\0"] for i, t, *_ in corpus()}
-    count, pairs, starts = collections.Counter(), collections.Counter(), 0
+    # The automaton by hand: states are contexts with their counts, arcs are counted by state.
+    count, state, arc, root = collections.Counter(), collections.Counter(), collections.Counter(), ()
     for i, w in texts.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
             count.update(w)
-            pairs.update(zip([None, *w], w))
-            starts += 1
-    n, v, fan = sum(count.values()), len(count), collections.Counter(h for h, _ in pairs)
-    unit = lambda x: (count[x] + 0.5) / (n + 0.5 * (v + 1))
+            for k, x in enumerate(w):
+                for size in range(1, min(k + 1, lm.ORDER - 1) + 1):
+                    context = tuple([None, *w][k + 1 - size : k + 1])
+                    state[context] += 1
+                    arc[context, x] += 1
+    n, v = sum(count.values()), len(count)
+
+    def smooth(context, x):
+        if not context:
+            return (count[x] + 0.5) / (n + 0.5 * (v + 1))
+        m = lm.PRIOR[len(context) - 1]
+        return (arc[context, x] + m * smooth(context[1:], x)) / (state[context] + m)
+
     for i, w in texts.items():
-        score = 0.0
-        for h, x in zip([None, *w], w):
-            seen = starts if h is None else count[h]
-            score += math.log10(max(pairs[h, x] - 0.75, 0) / seen + 0.75 * fan[h] / seen * unit(x)) if fan[h] else math.log10(unit(x))
+        at, score = (None,) if state[(None,)] else root, 0.0
+        for x in w:
+            while at and not arc[at, x]:
+                m = lm.PRIOR[len(at) - 1]
+                score, at = score + math.log10(m / (state[at] + m)), at[1:]
+            score += math.log10(smooth(at, x))
+            at = (*at, x)[-(lm.ORDER - 1) :]
+            while at and not state[at]:
+                at = at[1:]
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-        assert math.isclose(r.base_score, sum(math.log10(unit(x)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10(smooth((), x)) for x in w), rel_tol=1e-9)
         assert math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def test_continuations_that_were_seen_score_higher(spark):
+    train = spark.createDataFrame([(1, "a b a c a b"), (2, "b a b"), (3, None)], "doc_id long, text string")
+    ask = spark.createDataFrame([(10 + k, t) for k, t in enumerate(["a b", "a b a", "a b b", "a b c", "a b unseen"])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.scores(train.unionByName(ask), F.col("doc_id") < 10).collect()}
+    assert all(x < 0 for x in got.values())
+    assert got[10] > got[14] and got[11] > got[12] > got[14] and got[11] > got[13]
+
+
 def test_fingerprints(docs, awkward):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     rows = sorted(corpus())

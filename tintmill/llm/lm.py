@@ -1,82 +1,81 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is an interpolated bigram with absolute discounting over an add-half unigram base. As an
-automaton it has a root, whose arcs carry the base, and a state for the start and for every word
-that training texts go on from; a state's arcs carry the smoothed bigrams, its failure arc the
-mass that discounting frees, and leads to the root. Scoring a text is one walk from the start: at
-each token it takes the state's arc, or fails over to the root's, adds the weights and goes to the
-token's state (the root, where the token has none).
+The model interpolates n-grams up to ``ORDER`` over an add-half unigram base. An n-gram of order k
+with count c after a context with count n has the probability (c + m p) / (n + m), p being that of
+its suffix of order k - 1 and m the order's ``PRIOR``. As an automaton it has a root, whose arcs
+carry the base, and a state for every context (the start and up to ``ORDER - 1`` tokens) that the
+training texts go on from. A state has an arc for each token that follows it there, weighted with
+the smoothed n-gram, and a failure arc with the mass m / (n + m) that smoothing keeps for the rest;
+it leads to the state of the context without its first token. Scoring a text is one traversal from
+left to right: it carries a state, follows failure arcs until one has the token's arc, adds the
+weights, and goes on from the state of the longest context that the arc's n-gram ends with.
 
 The automaton of a large corpus fits no machine, and needn't. Documents are dealt into blocks; a
-block asks the owners of hash ranges for the counts of just those n-grams that its texts walk over,
-sending its own training counts with the question. Owners add the counts of all blocks, then those
-of a state's distinct continuations, and answer. Each block assembles its part of the automaton and
-walks it. An n-gram costs its owner one entry a block, however often it occurs.
-
-N-grams are told apart by hashes: 64 bits for a token, 40 for a state and 40 more for its arc. Of a
-state's million arcs, or of a million states, about one in a few millions shares its counts with
-another.
+block asks the owners of hash ranges for the counts of just those n-grams that its texts may walk
+over, sending its own training counts with the question. Owners add the counts of all blocks and
+answer. Each block assembles its part of the automaton and traverses it. An n-gram costs its owner
+one entry a block, however often it occurs.
+
+N-grams are told apart by hashes: 64 bits for a token; for longer ones 20 bits more than the
+corpus's tokens need to be counted, so that at any size about one in a million shares its count
+with another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .substring import _bits, block_sizes
-from .textops import Words, chunks, deltas, undeltas
+from .textops import Words, chunks, deltas, joined, mix, undeltas
 
-DISCOUNT = 0.75
+#: Highest order, and the weight of an order's lower-order estimate by order from two on.
+ORDER = 3
+PRIOR = (1000.0, 2.0)
 #: Characters of a block and n-grams of an owner at least; both grow with the corpus's square root.
 BLOCK_CHARS = 1 << 22
 OWNER_ITEMS = 1 << 20
+#: Hash bits of an n-gram beyond those that number the corpus's tokens.
+SPARE_BITS = 20
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _MESSAGE = "_block long, _owner long, _row int, _data binary, _more binary"
 _ARROW = pa.schema([("_block", pa.int64()), ("_owner", pa.int64()), ("_row", pa.int32()), ("_data", pa.binary()), ("_more", pa.binary())])
 _ZSTD = pa.Codec("zstd")
-_ARC, _TOKEN, _FANOUT, _ARC_SUM, _TOKEN_SUM = range(5)
+_TOKEN, _GRAM = range(2)
+#: Low bits of a key that are sent as they are; the rest are sent as differences.
+_LOW = 24
 
 
 def _numbers(x: np.ndarray) -> bytes:
     """Counts as byte planes, compressed: most are ones."""
-    return len(x).to_bytes(4, "little") + _ZSTD.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+    wide = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
+    return bytes([wide]) + len(x).to_bytes(4, "little") + _ZSTD.compress(x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes(), asbytes=True)
 
 
 def _unnumbers(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(_ZSTD.decompress(data[4:], 4 * size), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    wide, size = data[0], int.from_bytes(data[1:5], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[5:], wide * size), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").reshape(-1).astype(np.int64)
 
 
-def _arcs(w: np.ndarray, n: np.ndarray) -> bytes:
-    """40-bit arc hashes as byte planes, after their counts."""
-    counts = _numbers(n)
-    return len(counts).to_bytes(4, "little") + counts + w.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+def _keys(x: np.ndarray) -> bytes:
+    """Ascending keys: differences of their high bits, compressed, and planes of their low bytes."""
+    high = deltas(x >> np.uint64(_LOW))
+    packed = _ZSTD.compress(high, asbytes=True)
+    low = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, : _LOW // 8].T.tobytes()
+    return len(high).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + low
 
 
-def _unarcs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    end = 4 + int.from_bytes(data[:4], "little")
-    counts = _unnumbers(data[4:end])
-    size = len(counts)
-    w = np.zeros((size, 8), np.uint8)
-    w[:, :5] = np.frombuffer(data, np.uint8, offset=end).reshape(5, -1).T
-    return w.view("<u8").reshape(-1), counts
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in ascending order, and the place of each given pair among them."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    at = np.empty(len(a), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return x[new], y[new], at
+def _unkeys(data: bytes) -> np.ndarray:
+    size, end = int.from_bytes(data[:4], "little"), 8 + int.from_bytes(data[4:8], "little")
+    high = undeltas(_ZSTD.decompress(data[8:end], size, asbytes=True))
+    low = np.zeros((len(high), 8), np.uint8)
+    low[:, : _LOW // 8] = np.frombuffer(data, np.uint8, offset=end).reshape(_LOW // 8, -1).T
+    return high << np.uint64(_LOW) | low.view("<u8").reshape(-1)
 
 
 def _table(rows: list) -> pa.Table:
@@ -88,38 +87,58 @@ def _rows(t: pa.Table) -> list[tuple]:
 
 
 class _Sizes:
-    def __init__(self, chars: int, tokens: int):
+    def __init__(self, chars: int):
+        grams = ORDER * (chars // 5)
         block, items = block_sizes(chars, BLOCK_CHARS, OWNER_ITEMS)
         self.blocks = max(1, -(-chars // block))
-        self.owner_bits = _bits(tokens / items)
-        # A state's arcs are dealt to several owners, more the more there are, so that no state is one owner's.
-        self.parts = self.owner_bits // 4
-        self.bits = self.owner_bits - self.parts
+        self.owner_bits = _bits(grams / items)
+        self.width = min(62, max(40, _bits(grams) + SPARE_BITS))
 
+    def owners(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Owners of keys by their first bits."""
+        width = 64 if kind == _TOKEN else self.width
+        return (keys >> np.uint64(width - self.owner_bits)).astype(np.int64) if self.owner_bits else np.zeros(len(keys), np.int64)
 
-class _Tokens:
-    """Tokens of a block's texts with the token before each, and which of them are learnt from."""
 
-    def __init__(self, texts: list, learnt: np.ndarray):
+class _Grams:
+    """Tokens of a block's texts, each text after the start and before its end; longer n-grams; which are learnt from.
+
+    ``at[k]``: for each token, the place of the n-gram of order k + 1 that ends with it among the distinct keys of
+    its kind, or -1 where the text hasn't so many tokens before it; ``context[k]``: likewise of the n-gram before it.
+    """
+
+    def __init__(self, texts: list, learnt: np.ndarray, sizes: _Sizes):
         words = Words(texts, lower=True)
         n, docs = len(words.doc), len(texts)
+        begin = words.first + 2 * np.arange(docs + 1)
+        every = np.full(n + 2 * docs, _END, np.uint64)
+        every[begin[:-1]] = _START
+        every[np.arange(n) + 2 * words.doc + 1] = words.hashes(0)
         self.first = words.first + np.arange(docs + 1)
-        self.token = np.full(n + docs, _END, np.uint64)
-        self.token[np.arange(n) + words.doc] = words.hashes(0)
-        self.before = np.concatenate([[_START], self.token[:-1]])[: n + docs]
-        self.before[self.first[:-1]] = _START
-        self.learnt = np.repeat(learnt, np.diff(self.first))
-        self.tokens, self.token_at = np.unique(np.append(self.token, _START), return_inverse=True)
-        self.states, self.arcs, self.arc_at = _pairs(self.before >> np.uint64(24), (self.token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24))
-        self.token_n = np.bincount(self.token_at[:-1], self.learnt, len(self.tokens)).astype(np.int64)
-        # The start is no token; its count as a state is that of the texts learnt from.
-        self.token_n[self.token_at[-1]] = int(learnt.sum())
-        self.arc_n = np.bincount(self.arc_at, self.learnt, len(self.arcs)).astype(np.int64)
-
-    def arc_owners(self, sizes: _Sizes) -> tuple[np.ndarray, np.ndarray]:
-        """Owner of each distinct arc, and the order by owner and hash."""
-        owner = ((self.states >> np.uint64(40 - sizes.bits) << np.uint64(sizes.parts)) | (self.arcs >> np.uint64(40 - sizes.parts))).astype(np.int64)
-        return owner, np.argsort(owner, kind="stable")
+        place = np.delete(np.arange(len(every)), begin[:-1])
+        used = np.repeat(learnt, np.diff(begin))
+        self.tokens, token_at = np.unique(every, return_inverse=True)
+        # The start counts as often as texts are learnt from.
+        self.token_n = np.bincount(token_at, used, len(self.tokens)).astype(np.int64)
+        self.start = int(np.searchsorted(self.tokens, _START))
+        depth = np.arange(len(every)) - np.repeat(begin[:-1], np.diff(begin))
+        gram, grams = every, []
+        for k in range(1, ORDER):
+            longer = joined(gram[:-1], every[k:])
+            gram, own = longer, depth[k:] >= k
+            grams.append(np.where(own, mix(longer + np.uint64(k)) >> np.uint64(64 - sizes.width), np.uint64(0)))
+        valid = [depth[k:] >= k for k in range(1, ORDER)]
+        flat = np.concatenate([g[v] for g, v in zip(grams, valid)])
+        self.keys, flat_at = np.unique(flat, return_inverse=True)
+        self.key_n = np.bincount(flat_at, np.concatenate([used[k:][v] for k, v in zip(range(1, ORDER), valid)]), len(self.keys)).astype(np.int64)
+        at, done = [token_at], 0
+        for k, v in zip(range(1, ORDER), valid):
+            one = np.full(len(every), -1)
+            one[np.flatnonzero(v) + k] = flat_at[done : done + int(v.sum())]
+            done += int(v.sum())
+            at.append(one)
+        self.at = [x[place] for x in at]
+        self.context = [x[place - 1] for x in at[:-1]]
 
 
 def _read(t: pa.Table) -> tuple[list, np.ndarray, list]:
@@ -136,88 +155,83 @@ def _borders(owner: np.ndarray) -> list[tuple[int, int]]:
 def _ask(sizes: _Sizes):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         texts, learnt, _ = _read(t)
-        own, block, out = _Tokens(texts, learnt), key[0].as_py(), []
-        owner, order = own.arc_owners(sizes)
-        owner, states, arcs, n = owner[order], own.states[order], own.arcs[order], own.arc_n[order]
-        for a, b in _borders(owner):
-            out.append((block, int(owner[a]), _ARC, deltas(states[a:b]), _arcs(arcs[a:b], n[a:b])))
-        bits = sizes.owner_bits
-        owner = (own.tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own.tokens), np.int64)
-        for a, b in _borders(owner):
-            out.append((block, int(owner[a]), _TOKEN, deltas(own.tokens[a:b]), _numbers(own.token_n[a:b])))
+        own, block, out = _Grams(texts, learnt, sizes), key[0].as_py(), []
+        for kind, keys, n, write in ((_TOKEN, own.tokens, own.token_n, deltas), (_GRAM, own.keys, own.key_n, _keys)):
+            owner = sizes.owners(kind, keys)
+            out += [(block, int(owner[a]), kind, write(keys[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
         return _table(out)
 
     return run
 
 
-def _add_arcs(sizes: _Sizes):
-    """Adds the counts of one owner's arcs; answers, and tells the owners of states how many arcs they have here."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows, out = _rows(t), []
-        asked = [(b, undeltas(d), *_unarcs(m)) for b, _, r, d, m in rows if r == _ARC]
+def _add(key: tuple, t: pa.Table) -> pa.Table:
+    """Adds the counts of one owner's n-grams and answers each block, in the order of its keys."""
+    rows, out = _rows(t), []
+    for kind, read in ((_TOKEN, undeltas), (_GRAM, _unkeys)):
+        asked = [(b, o, read(d), _unnumbers(m)) for b, o, r, d, m in rows if r == kind]
         if asked:
-            states, arcs, at = _pairs(*(np.concatenate([r[k] for r in asked]) for k in (1, 2)))
-            total = np.bincount(at, np.concatenate([n for *_, n in asked])).astype(np.int64)
-            end = np.cumsum([len(k) for _, k, *_ in asked])
-            out += [(b, key[0].as_py(), _ARC_SUM, None, _numbers(total[at[e - len(k) : e]])) for (b, k, *_), e in zip(asked, end)]
-            states, n = np.unique(states[total > 0], return_counts=True)
-            bits = sizes.owner_bits
-            owner = (states >> np.uint64(40 - bits)).astype(np.int64) if bits else np.zeros(len(states), np.int64)
-            out += [(None, int(owner[a]), _FANOUT, deltas(states[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
-        return _table(out)
+            distinct, at = np.unique(np.concatenate([k for *_, k, _ in asked]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([n for *_, n in asked]), len(distinct)).astype(np.int64)
+            end = np.cumsum([len(k) for *_, k, _ in asked])
+            out += [(b, o, kind, None, _numbers(total[at[e - len(k) : e]])) for (b, o, k, _), e in zip(asked, end)]
+    return _table(out)
 
-    return run
 
+def _traverse(first: list, arcs: list, fails: list, depth0: int, order: int) -> list[float]:
+    """The weight of each text: ``arcs[d]`` of a token isn't a number where the state of d tokens has no arc for it.
 
-def _add_tokens(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Adds the counts of one owner's tokens (right) and their states' arcs (left); passes answers about arcs on."""
-    rows = _rows(left)
-    out = [r for r in rows if r[2] == _ARC_SUM]
-    asked = [(b, o, undeltas(d), _unnumbers(m)) for b, o, r, d, m in _rows(right.filter(pc.equal(right.column("_row"), _TOKEN)))]
-    if asked:
-        tokens, at = np.unique(np.concatenate([k for *_, k, _ in asked]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([n for *_, n in asked])).astype(np.int64)
-        told = [(undeltas(d), _unnumbers(m)) for _, _, r, d, m in rows if r == _FANOUT]
-        states, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in told)]), return_inverse=True)
-        fanout = np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(n for _, n in told)]), len(states)).astype(np.int64)
-        place = np.minimum(np.searchsorted(states, tokens >> np.uint64(24)), max(len(states) - 1, 0))
-        fan = np.where(states[place] == tokens >> np.uint64(24), fanout[place], 0) if len(states) else np.zeros(len(tokens), np.int64)
-        end = np.cumsum([len(k) for *_, k, _ in asked])
-        out += [(b, o, _TOKEN_SUM, _numbers(total[at[e - len(k) : e]]), _numbers(fan[at[e - len(k) : e]])) for (b, o, k, _), e in zip(asked, end)]
-    return _table(out)
+    ``fails[d]`` is the failure weight of that state. The root has an arc for every token; ``fails[0]`` tells whether the
+    token itself is a state.
+    """
+    out, top, root, states = [], order - 1, arcs[0], fails[0]
+    for a, b in zip(first[:-1], first[1:]):
+        depth, total = depth0, 0.0
+        for i in range(a, b):
+            while depth and (weight := arcs[depth][i]) != weight:
+                total += fails[depth][i]
+                depth -= 1
+            if depth:
+                total += weight
+                depth = min(depth + 1, top)
+            else:
+                total += root[i]
+                depth = states[i]
+        out.append(total)
+    return out
 
 
 def _walk(sizes: _Sizes, total: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, learnt, order = _read(left)
-        own = _Tokens(texts, learnt)
-        told = _rows(right)
-        sums = {kind: sorted((o, d, m) for _, o, r, d, m in told if r == kind) for kind in (_ARC_SUM, _TOKEN_SUM)}
-        none = np.zeros(0, np.int64)
-        arc_n = np.zeros(len(own.arcs), np.int64)
-        arc_n[own.arc_owners(sizes)[1]] = np.concatenate([none, *(_unnumbers(m) for _, _, m in sums[_ARC_SUM])])
-        n = np.concatenate([none, *(_unnumbers(d) for _, d, _ in sums[_TOKEN_SUM])])
-        fan = np.concatenate([none, *(_unnumbers(m) for _, _, m in sums[_TOKEN_SUM])])
-
-        start = own.token_at[-1]
-        at = own.token_at[:-1]
-        seen = n.copy()
-        seen[start] = 0
-        base = (seen + 0.5) / (total + 0.5 * (distinct + 1))
-        # States: the mass that a state's failure arc carries; a token without continuations has the root as its state.
-        has = fan > 0
-        fail = np.where(has, DISCOUNT * fan / np.maximum(n, 1), 1.0)
-        before = np.empty(len(at), np.int64)
-        before[1:], before[own.first[:-1]] = at[:-1], start
-        root, back = np.log10(base)[at], np.log10(fail)[before]
-        arc = arc_n[own.arc_at]
-        smooth = np.maximum(arc - DISCOUNT, 0) / np.maximum(n[before], 1) + fail[before] * base[at]
-        step = np.where(has[before] & (arc > 0), np.log10(smooth), back + root)
-        known = seen[at] > 0
+        own = _Grams(texts, learnt, sizes)
+        none, told = np.zeros(0, np.int64), _rows(right)
+        token_n, key_n = (np.concatenate([none, *(_unnumbers(m) for _, m in sorted((o, m) for _, o, r, _, m in told if r == kind))]) for kind in (_TOKEN, _GRAM))
+        seen = token_n.copy()
+        seen[own.start] = 0
+        base = ((seen + 0.5) / (total + 0.5 * (distinct + 1)))[own.at[0]]
+        known = seen[own.at[0]] > 0
+        root = np.log10(base)
         gather = lambda x: np.add.reduceat(x, own.first[:-1])  # noqa: E731  every text has its end at least
-        back_ids = left.select(["_id"]).take(pa.array(order, pa.int64()))
-        return pa.table({"_id": back_ids.column("_id"), "_learnt": pa.array(learnt), "_tokens": np.diff(own.first), "_known": gather(known.astype(np.int64)), "_base": gather(root), "_score": gather(step)})
+
+        smooth, arcs, fails = base, [root], [known]
+        counts = [token_n, *[key_n] * (ORDER - 1)]
+        for k in range(1, ORDER):
+            here, before = own.at[k], own.context[k - 1]
+            n = np.where(before >= 0, counts[k - 1][before], 0)
+            c = np.where(here >= 0, key_n[here], 0) if len(key_n) else np.zeros(len(here), np.int64)
+            smooth = (c + PRIOR[k - 1] * smooth) / (n + PRIOR[k - 1])
+            arcs.append(np.where(c > 0, np.log10(smooth), np.nan))
+            fails.append(np.log10(PRIOR[k - 1] / (n + PRIOR[k - 1])))
+        score = []
+        # A few texts at a time, since the traversal reads plain numbers.
+        step = np.searchsorted(own.first, np.arange(0, own.first[-1] + 1, 1 << 16), "left")
+        for a, b in zip(step, [*step[1:], len(texts)]):
+            if a < b:
+                lo, hi = own.first[a], own.first[b]
+                some = [x[lo:hi].tolist() for x in arcs]
+                score += _traverse((own.first[a : b + 1] - lo).tolist(), some, [known[lo:hi].astype(int).tolist(), *(x[lo:hi].tolist() for x in fails[1:])], int(token_n[own.start] > 0), ORDER)
+        ids = left.select(["_id"]).take(pa.array(order, pa.int64()))
+        return pa.table({"_id": ids.column("_id"), "_learnt": pa.array(learnt), "_tokens": np.diff(own.first), "_known": gather(known.astype(np.int64)), "_base": gather(root), "_score": np.array(score, float)})
 
     return run
 
@@ -267,15 +281,13 @@ def scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(learn_from, F.lit(False)).alias("_learnt"))
     chars = int(own.agg(F.sum(F.length("_text"))).first()[0] or 0)
-    sizes = _Sizes(chars, chars // 5)
+    sizes = _Sizes(chars)
     tokens = cut(own.filter("_learnt").select("_text").mapInArrow(_distinct(sizes.owner_bits), "_owner long, _data binary, _n long"))
     total = int(tokens.agg(F.sum("_n")).first()[0] or 0)
     distinct = int(tokens.groupBy("_owner").applyInArrow(_count_distinct, "_distinct long").agg(F.sum("_distinct")).first()[0] or 0)
 
-    dealt = own.withColumn("_block", F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(sizes.blocks)).cast("long"))
+    dealt = own.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(sizes.blocks)).cast("long"))
     asked = dealt.groupBy("_block").applyInArrow(_ask(sizes), _MESSAGE)
-    arcs = asked.groupBy("_owner").applyInArrow(_add_arcs(sizes), _MESSAGE)
-    # The questions are read twice, from one exchange.
-    told = arcs.groupBy("_owner").cogroup(asked.groupBy("_owner")).applyInArrow(_add_tokens, _MESSAGE)
+    told = asked.groupBy("_owner").applyInArrow(_add, _MESSAGE)
     out = dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_walk(sizes, total, distinct), "_id long, _learnt boolean, _tokens long, _known long, _base double, _score double")
     return out.select(F.col("_id").alias("doc_id"), (~F.col("_learnt")).alias("held_out"), F.col("_tokens").alias("n_tokens"), F.col("_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
