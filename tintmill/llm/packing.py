@@ -6,9 +6,11 @@ items, which meet in a tree: every round brings the items of ``FAN`` groups toge
 them again and settles the nearly full, until one group is left. A round's moves (bin into bin, at
 an offset) are small tables; composed, they place every piece.
 
-Within a group no two bins fit into one after best fit, so what climbs the tree is mostly a group's
-last bins; where large items leave many bins underfull, the ``CLIMB`` emptiest of a group climb and
-the others stay as they are. That bounds every task and leaves out no row.
+Within a group no two bins fit into one after best fit, so at most one is no more than half full, and
+only such ones ever move: the others are hosts. A round so moves at most ``FAN`` bins a group, and
+hosts of equal room are alike. Of each room, ``FAN`` bins for every round still to come therefore
+climb; the rest of that room can't be needed, so leaving them where they are changes no packing. That
+bounds every task, at ``FAN * hosts(rounds) * length`` rows, without a cap on what is packed.
 
 Best fit over whole-number sizes needs no search tree: the open bins are kept by their room, one
 stack for each of the ``length`` possible rooms, so an item costs at most one scan of a bit mask.
@@ -28,14 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.lineage import written
 from .common import cut
-from .textops import chunks
+from .textops import chunks, release
 
 LENGTH, END_ID = 1024, 2
 #: Room up to which a sequence counts as nearly full and is settled.
 NEARLY = 2
-#: Groups that meet in one in a round; pieces of a first group, its tokens if they are carried; bins that climb.
-FAN, GROUP_PIECES, GROUP_TOKENS, CLIMB = 8, 250_000, 1 << 24, 50_000
+#: Groups that meet in one in a round, and pieces of a first group.
+FAN, GROUP_PIECES = 8, 250_000
 
 #: The splitting pattern of the byte-level vocabulary (a fixed value of that tokenizer).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -146,13 +149,15 @@ def _encode(path: str, length: int, with_ids: bool):
                         rows.append(k)
                         facts.append((piece, start, size, zlib.crc32(own)))
                         if with_ids:
-                            tokens.append(np.frombuffer(own, "<u4").astype(np.int32))
+                            tokens.append(own)
                 facts = np.array(facts, np.int64).reshape(-1, 4)
-                out = batch.select(["_id", "_rest"]).take(pa.array(rows, pa.int64()))
+                out = batch.select(["_id", "_rest", "_source"]).take(pa.array(rows, pa.int64()))
                 new = {"_piece": pa.array(facts[:, 0].astype(np.int32)), "_start": pa.array(facts[:, 1]), "_length": pa.array(facts[:, 2]), "_crc": pa.array(facts[:, 3])}
                 if with_ids:
-                    new["_ids"] = pa.array(tokens, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*out.columns, *new.values()], names=["_id", "_rest", *new])
+                    flat = np.frombuffer(b"".join(tokens), "<u4").astype(np.int32)
+                    new["_ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(facts[:, 2])]).astype(np.int32), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*out.columns, *new.values()], names=["_id", "_rest", "_source", *new])
+        release()
 
     return run
 
@@ -179,34 +184,44 @@ def _again(length: int, level: int):
     return run
 
 
+def hosts(rounds: int) -> int:
+    """Bins of a group and of a room that may still be needed, with so many rounds to come."""
+    return FAN * rounds
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: its columns (but the text) with ``piece, start, length,
-    ids_crc32, sequence_id, offset`` and, ``with_ids``, ``ids``.
+    ids_crc32, sequence_id, offset, row_id`` and, ``with_ids``, ``ids``.
 
     A document's ids are the tokenizer's, then id 2. Only longer ones than ``length`` are cut, into
     pieces of ``length`` of which the first may be shorter. Pieces fill sequences of at most
     ``length`` gaplessly from offset 0. A null or empty text is one piece: id 2. Null ids and
-    repeated rows are packed like others. An empty table gives no rows. Columns with the names of
-    new ones are replaced by these.
+    repeated rows are packed like others; ``row_id``, a number for each row of ``docs``, tells copies
+    of a document apart. An empty table gives no rows. Columns with the names of new ones are
+    replaced by these.
     """
-    new = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    new = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids", "row_id")
     rest = [c for c in docs.columns if c.lower() not in {id_col.lower(), text_col.lower(), *new}]
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True).alias("_all")).alias("_rest"))
-    kept = [own.schema["_id"], own.schema["_rest"], *StructType.fromDDL("_piece int, _start long, _length long, _crc long" + ", _ids array<int>" * with_ids)]
-    pieces = cut(own.mapInArrow(_encode(tokenizer, length, with_ids), StructType(kept)))
-    count, tokens = pieces.agg(F.count("*"), F.sum("_length")).first()
-    groups = max(1, -(-count // GROUP_PIECES), -(-(tokens or 0) // GROUP_TOKENS) * with_ids)
-    # Repeated rows must not share a group: rows are dealt by their place in the checkpoint.
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    schema = StructType([*kept, *StructType.fromDDL("_group long, _bin long, _at long, _fill long")])
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True).alias("_all")).alias("_rest"), F.monotonically_increasing_id().alias("_source"))
+    kept = [own.schema["_id"], own.schema["_rest"], *StructType.fromDDL("_source long, _piece int, _start long, _length long, _crc long" + ", _ids array<int>" * with_ids)]
+    # Only narrow rows move and are cut into groups; ids wait in a table, and meet their places at the end.
+    keyed = own.mapInArrow(_encode(tokenizer, length, with_ids), StructType(kept))
+    pieces = written(keyed.withColumn("_key", F.monotonically_increasing_id())) if with_ids else cut(keyed)
+    narrow = pieces.select("_key", "_id", "_piece", "_length", "_crc") if with_ids else pieces
+    groups = max(1, -(-narrow.count() // GROUP_PIECES))
+    # Repeated rows must not share a group: rows are dealt by their place in the table.
+    dealt = narrow.withColumn("_group", F.pmod(F.xxhash64("_key" if with_ids else F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    schema = StructType([*narrow.schema.fields, *StructType.fromDDL("_group long, _bin long, _at long, _fill long")])
     placed = cut(dealt.groupBy("_group").applyInArrow(_first(length), schema))
 
-    def climbing(bins: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("_group").orderBy("_fill", "_bin"))
-        return bins.filter(F.col("_fill") < length - NEARLY).distinct().withColumn("_rank", rank).filter(F.col("_rank") <= CLIMB).drop("_rank")
+    def climbing(bins: DataFrame, rounds: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("_group", "_fill").orderBy("_bin"))
+        return bins.filter(F.col("_fill") < length - NEARLY).distinct().withColumn("_rank", rank).filter(F.col("_rank") <= hosts(rounds)).drop("_rank")
 
-    level, moves = 0, None
-    open_ = climbing(placed.select("_bin", "_fill", "_group"))
+    level, moves, rounds, left = 0, None, 0, groups
+    while left > 1:
+        left, rounds = -(-left // FAN), rounds + 1
+    open_ = climbing(placed.select("_bin", "_fill", "_group"), rounds)
     while groups > 1:
         groups, level = -(-groups // FAN), level + 1
         step = cut(open_.withColumn("_group", F.floor(F.col("_group") / FAN)).groupBy("_group").applyInArrow(_again(length, level), "_bin long, _to long, _by long, _now long, _group long"))
@@ -216,13 +231,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         else:
             next_ = move.select(F.col("_bin").alias("_to"), F.col("_to").alias("_then"), F.col("_by").alias("_further"))
             moves = moves.join(next_, "_to", "left").select("_bin", F.coalesce("_then", "_to").alias("_to"), (F.col("_by") + F.coalesce("_further", F.lit(0))).alias("_by"))
-        open_ = climbing(step.select(F.col("_to").alias("_bin"), F.col("_now").alias("_fill"), "_group"))
+        open_ = climbing(step.select(F.col("_to").alias("_bin"), F.col("_now").alias("_fill"), "_group"), rounds - level)
     if moves is not None:
         # Only pieces of underfull bins take part; the others keep the place they have.
         short = placed.filter(F.col("_fill") < length - NEARLY).join(moves, "_bin", "left")
         short = short.withColumn("_at", F.col("_at") + F.coalesce("_by", F.lit(0))).withColumn("_bin", F.coalesce("_to", "_bin")).drop("_to", "_by")
         placed = placed.filter(F.col("_fill") >= length - NEARLY).unionByName(short)
+    if with_ids:
+        placed = pieces.join(placed.select("_key", "_bin", "_at"), "_key")
     id_type = docs.schema[id_col].dataType
     out = [F.col("_id").cast(id_type).alias(id_col), *(F.col(f"_rest.`{c}`").alias(c) for c in rest)]
-    out += [F.col(a).alias(b) for a, b in (("_piece", "piece"), ("_start", "start"), ("_length", "length"), ("_crc", "ids_crc32"), ("_bin", "sequence_id"), ("_at", "offset"))]
+    out += [F.col(a).alias(b) for a, b in (("_piece", "piece"), ("_start", "start"), ("_length", "length"), ("_crc", "ids_crc32"), ("_bin", "sequence_id"), ("_at", "offset"), ("_source", "row_id"))]
     return placed.select(*out, *([F.col("_ids").alias("ids")] if with_ids else []))

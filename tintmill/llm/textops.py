@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +163,13 @@ def undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat(part, begin), dtype=np.uint64)
 
 
+def release() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(column: pa.Array, limit: int = 1 << 20):
     """(begin, end, texts) for runs of a column that hold about ``limit`` bytes each (a longer text is alone)."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
