@@ -247,6 +247,19 @@ def test_mix_meets_its_targets(docs):
     assert sum(r.part > 0 for r in rows) <= len(size)
     again = mixing.mix(docs.repartition(7), carry=["doc_id"]).collect()
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in rows}
+    # The order of the keys, from the definition: whole epochs, then documents by -ln(u) / w until the rest is used up.
+    facts = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("h")).collect()
+    for s in size:
+        epochs, own = int(target[s] // size[s]), []
+        for r in (r for r in facts if r.source == s):
+            u, text = ((r.h % (1 << 64) >> 11) + 0.5) / float(1 << 53), r.text or ""
+            weight = max(0.1, sum(c.isalpha() or c in " \t\n\r\f\v" for c in text) / len(text)) if text else 1.0
+            own.append((-math.log(u) / weight, r.doc_id, len(words(text))))
+        left, chosen = target[s] - epochs * size[s], {}
+        for _, i, n in sorted(own):
+            chosen[i] = epochs * n + min(n, max(0, round(left)))
+            left -= n
+        assert all(abs(chosen[r.doc_id] - r.taken) <= 1 for r in rows if r.source == s)
     out = collections.Counter()
     for r in mixing.emit(mixing.mix(docs)).collect():
         out[r.source] += len(words(r.text))
@@ -296,6 +309,38 @@ def test_packing_over_a_tree_of_groups(docs, monkeypatch):
     assert len(bins) <= 1.15 * sum(r.length for r in got) / 256 + 1
 
 
+def test_hosts_that_stay_behind_change_no_packing(spark, monkeypatch):
+    """Many items over half a sequence, few small ones: as many sequences as when all underfull bins climb."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([33, 34, 35, 36, 40, 45, 5, 9, 14])))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    monkeypatch.setattr(packing, "GROUP_PIECES", 12)
+    monkeypatch.setattr(packing, "FAN", 2)
+    count = lambda: packing.pack(df, tokenizer_path(), length=64).select("sequence_id").distinct().count()
+    bound = count()
+    monkeypatch.setattr(packing, "hosts", lambda rounds: 10**9)
+    assert bound == count()
+
+
+def test_best_fit_by_hand():
+    rng = random.Random(3)
+    for _ in range(30):
+        length = rng.choice([10, 64])
+        sizes = [rng.randint(1, length) for _ in range(rng.choice([0, 1, 7, 60]))]
+        fills, where = [], {}
+        for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+            fits = [b for b in range(len(fills)) if fills[b] + sizes[k] <= length]
+            fullest = max((fills[b] for b in fits), default=None)
+            if fullest is None:
+                fills.append(0)
+                fullest = 0
+            where[k] = fullest
+            fills[next(b for b in (fits or [len(fills) - 1]) if fills[b] == fullest)] += sizes[k]
+        bin_of, offset, got = packing.best_fit(sizes, length)
+        assert sorted(got) == sorted(fills)
+        assert offset.tolist() == [where[k] for k in range(len(sizes))]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_language_model(docs, monkeypatch, small):
     if small:

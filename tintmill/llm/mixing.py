@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A source whose target is t times its size gives floor(t) complete epochs, then a fractional one:
-documents in the order of exponential keys -ln(u) / w, w being a document's quality weight and u a
-hash of the document, until their summed sizes reach the rest of the target. The document at which
+documents in the order of exponential keys -ln(u) / w, w being a document's quality weight (any
+column: a classifier's score, say) and u a hash of its id and text, until their summed sizes reach the rest of the target. The document at which
 they do is cut: the mix takes as many of its first words as the budget has left.
 
 The prefix sum doesn't gather a source anywhere. Keys fall into 256 * 256 buckets a source; the
@@ -53,18 +53,18 @@ def mix(docs: DataFrame, carry: Sequence[str] | None = None, id_col: str = "doc_
 
     ``taken`` is ``copies`` times ``size`` plus ``part``: the words of the row's document in the mix.
     ``copies`` is the source's complete epochs, and one more where the fractional epoch selects the
-    row; ``part`` counts the first words of a cut copy, of one document a source at most. A source's
+    row; ``quality`` is the weight, by default the text's share of letters; ``part`` counts the first words of a cut copy, of one document a source at most. A source's
     taken words miss its target by a word at most. Reruns agree.
 
     A null or empty text has size 0; a null source is a source of its own, the last. A null id draws
-    a key like any other. Repeated rows share a key and are taken one by one. An empty table gives
+    a key by its text. Rows of equal id and text share a key and are taken one by one. An empty table gives
     no rows; all sources empty give targets of 0. Carried columns with the names of new ones are
     replaced by these.
     """
     new = {"size", "source_size", "target", "taken", "copies", "part"}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     text = F.col(f"`{text_col}`")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     key = -F.log(u) / (quality_weight(text) if quality is None else quality)
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry), F.lit(True).alias("_all")).alias("_row"), F.col(f"`{source_col}`").alias("_source"), word_count(text).alias("_size"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_tie"), key.alias("_key"))
     base = base.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * _SIDE * _SIDE), F.lit(_SIDE * _SIDE - 1)).cast("int"))
