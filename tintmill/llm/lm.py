@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .substring import _bits, block_sizes
-from .textops import Words, chunks, deltas, joined, mix, undeltas
+from .textops import Words, chunks, deltas, joined, mix, release, undeltas
 
 #: Highest order, and the weight of an order's lower-order estimate by order from two on.
 ORDER = 3
@@ -142,6 +142,7 @@ class _Grams:
 
 
 def _read(t: pa.Table) -> tuple[list, np.ndarray, list]:
+    release()
     ids, texts = t.column("_id").to_pylist(), t.column("_text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] or ""))
     return [texts[k] for k in order], t.column("_learnt").to_numpy()[order].astype(bool), order

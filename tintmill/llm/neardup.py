@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import WORD, cut, small
-from .textops import Words, chunks, inside, mix, ngrams
+from .textops import Words, chunks, inside, mix, ngrams, release
 
 PERMUTATIONS, BAND = 80, 5
 #: Signature agreement this far under the similarity rules a pair out in a square: eight deviations below a similarity of 0.8.
@@ -91,6 +91,7 @@ def _sign(size: int):
                     ],
                     names=["_id", "_n", "_k1", "_k2", "_bands", "_sig"],
                 )
+        release()
 
     return run
 
@@ -117,6 +118,7 @@ def _confirm(size: int, percent: int):
                 both = len(held & other)
                 good.append(100 * both >= percent * (len(held) + len(other) - both) > 0)
             yield batch.select(["u", "v"]).filter(pa.array(good))
+        release()
 
     return run
 
@@ -149,6 +151,7 @@ def _short(size: int):
                 g, first = shingle_sets(words, words.hashes(0), size)
                 sets = [g[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), pa.array(sets, pa.binary())], names=["_rep", "_set"])
+        release()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import WORD, cut
-from .textops import chunks
+from .textops import chunks, release
 
 TRAIN_ROWS, TRAIN_PARTS, FOLDS = 60_000, 8, 4
 FEATURES, RIDGE = 256, 1e-2
@@ -77,6 +77,7 @@ def _measure(batches):
         for a, b, texts in chunks(batch.column("_text")):
             values = [list(map(float, statistics(t))) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.select(names).slice(a, b - a).columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, "_x"])
+    release()
 
 
 class Model:

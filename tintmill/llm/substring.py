@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import total_chars
-from .textops import Words, deltas, inside, ngrams, undeltas
+from .textops import Words, deltas, inside, ngrams, release, undeltas
 
 WINDOW = 20
 #: Characters of text a block holds at least, about, and entries of a block's message to an owner.
@@ -67,6 +67,7 @@ class _Plan:
 
 def _read(t: pa.Table) -> tuple[np.ndarray, list, Words]:
     """Ids (null: the smallest number) and words of a block, by id and text."""
+    release()
     ids = np.array([np.iinfo(np.int64).min if v is None else v for v in t.column("_id").to_pylist()], np.int64)
     texts = t.column("_text").to_pylist()
     order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k] or ""))
