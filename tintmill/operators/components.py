@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
+#: Edges of a written part, about.
+PART_EDGES = 1_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v), comp being the smallest node it is linked with.
@@ -16,13 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     a component. Loops and repeated edges do nothing; null ends are dropped; no edges give no rows.
     """
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not e.isEmpty():
+    # Rounds never have more edges than nodes and edges together; few rows aren't worth a file for every partition.
+    parts = -(-e.count() // PART_EDGES)
+    while parts:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.filter("u <> v").distinct())
+        e = written(small.filter("u <> v").distinct().coalesce(parts))
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(True).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(False).alias("hangs")))).alias("x")).select("x.*")
         if ends.groupBy("node").agg(F.count_if("hangs").alias("n"), F.count("*").alias("of")).filter("n > 1 or (n = 1 and of > 1)").isEmpty():
             break
