@@ -133,8 +133,7 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
     A star's pairs are dealt into as many parts as its largest bucket asks for, each with its text.
     """
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
-    texts = _texts(docs, ids)
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
     dealt = pairs.select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
     heads = dealt.select("u", "part").distinct().join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
     tails = dealt.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v")
@@ -238,8 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = placed_in(edges)
     if not left.isEmpty():
         facts = named.groupBy(F.col("_id").alias("_rep")).agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
-        ids = cut(left.select(F.col("_rep").alias("_id")).distinct())
-        sets = _texts(docs, ids).mapInArrow(_short(size), "_rep long, _set binary")
+        sets = _texts(docs, left.select(F.col("_rep").alias("_id")).distinct()).mapInArrow(_short(size), "_rep long, _set binary")
         square = left.join(facts, "_rep").join(sets, "_rep").withColumn("_parts", F.ceil(F.col("_size") / SIDE).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_rep"), "_parts").cast("int"))
         # A member stands in the row of the squares from its part on, and in the column of those before it.
         square = square.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
