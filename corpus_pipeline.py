@@ -12,22 +12,48 @@ from pyspark.sql import functions as F
 from tintmill.llm import mixing, neardup, packing, quality, substring
 from tintmill.llm.common import cut, small, table
 from tintmill.llm.queries import tokenizer_path
+from tintmill.plans.lineage import written
 
-#: Score under which a document is rejected.
-REJECT_BELOW = 0.5
+#: Score under which a document is rejected, and the least weight that a score gives in the mix.
+REJECT_BELOW, LEAST_WEIGHT = 0.5, 0.05
+#: Bytes of a batch of rows on its way to a Python worker: texts are long, and each running task holds a few batches.
+BATCH = "8m"
+
+
+def _sized(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. Decisions go back to rows by id and text, nulls included."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    scored = quality.score(keyed, table(spark, sf_dir, "labels"), carry=["doc_id", "_text_hash"])
-    bad = cut(scored.filter(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_text_hash").eqNullSafe(F.col("_bad_hash"))
-    return keyed.join(small(bad, bad.count()), same, "left_anti").drop("_text_hash")
+    """Documents that the quality classifier doesn't reject.
+
+    Decisions go back to rows by id and text, nulls included, so a null id, a null or empty text and
+    repeated rows are judged like others, and equal texts alike. Without labels of both kinds
+    nothing is rejected. No rows give none; further columns pass through, whatever their names.
+    """
+    _sized(spark)
+    key = _fresh(docs, "_text_hash")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    scored = quality.score(keyed, table(spark, sf_dir, "labels"), carry=["doc_id", key])
+    bad = cut(scored.filter(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias(_fresh(docs, "_bad_id")), F.col(key).alias(_fresh(docs, "_bad_hash"))).distinct())
+    same = keyed["doc_id"].eqNullSafe(bad[bad.columns[0]]) & keyed[key].eqNullSafe(bad[bad.columns[1]])
+    return keyed.join(small(bad, bad.count()), same, "left_anti").drop(key)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id; of an id's rows, one. Null ids stay."""
+    """One document of each group of near-duplicates: the one of smallest id; of an id's rows, one.
+
+    Rows of null id stay, and so do texts without words (they are like nothing). No rows give none;
+    further columns pass through, whatever their names.
+    """
+    _sized(spark)
     found = cut(neardup.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("doc_id is not null and (not kept or rows > 1)"))
     n = found.count()
     alone = docs.join(small(found.select("doc_id"), n), "doc_id", "left_anti")
@@ -36,19 +62,43 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur earlier; those of which nothing is left go."""
-    done = substring.remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    """Documents without passages that occur earlier; those of which nothing is left go.
+
+    Null and empty texts stay as they are. A null id counts as the smallest; rows that share an id
+    are one place, of which none repeats another. No rows give none; further columns pass through.
+    """
+    _sized(spark)
+    removed, n = "n_removed", "n_words"
+    rest = docs.select([F.col(f"`{c}`").alias(f"c{k}") if c.lower() in (removed, n) else F.col(f"`{c}`") for k, c in enumerate(docs.columns)])
+    done = substring.remove_repeats(rest).filter("n_removed = 0 or n_removed < n_words")
+    size = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"c{k}" if c.lower() in (removed, n) else f"`{c}`").alias(c) for k, c in enumerate(docs.columns)]
+    return done.select(size)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of their sources takes them."""
-    return mixing.emit(mixing.mix(docs)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """The documents as often as the mix of their sources takes them, by the quality classifier's score of the text as it is now.
+
+    A null source is one more source; null and empty texts have no words and come with whole epochs.
+    Ties of keys go by id and text; repeated rows are taken one by one. The one cut copy a source
+    keeps its first words. No rows give none; further columns pass through, but for those with names
+    that the mix uses (``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``part``).
+    """
+    _sized(spark)
+    score = _fresh(docs, "score")
+    scored = written(quality.score(docs, table(spark, sf_dir, "labels")).withColumnRenamed("score", score) if score == "score" else docs.withColumn(score, F.lit(1.0)))
+    weight = F.greatest(F.col(score), F.lit(LEAST_WEIGHT))
+    mixed = mixing.mix(scored, carry=docs.columns, quality=weight)
+    return mixing.emit(mixed).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document taken, with its place in a training sequence."""
-    return packing.pack(docs.drop("n_chars"), tokenizer_path())
+    """A row for each piece of each document taken: its token ids, and its place in a training sequence.
+
+    ``row_id`` tells the copies of a document that the mix took several times apart. A null or empty
+    text is its end token alone; null ids and repeated rows are packed like others. No rows give none.
+    """
+    _sized(spark)
+    return packing.pack(docs.drop("n_chars"), tokenizer_path(), with_ids=True)
 
 
 STAGES = [
