@@ -400,7 +400,6 @@ def test_fingerprints(docs, awkward):
         m = len(t) // 4
         edited = t[: len(t) - m] + after[:m]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
         by_text[t].add(got[i].fingerprint)
         if t == after:
             assert got[i].near_next == 1
@@ -410,13 +409,70 @@ def test_fingerprints(docs, awkward):
     assert rows[9].fingerprint and rows[12].n_chars == 16
 
 
+def hashed(spark, texts):
+    """All shingle hashes of each text, a shingle a row: runs of five words, shorter ones at the ends."""
+    rows = []
+    for k, t in enumerate(texts):
+        w = words(t)
+        rows += [(k, *[w[j] if 0 <= j < len(w) else None for j in range(i, i + 5)]) for i in range(-4, len(w))] if w else []
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string, d string, e string")
+    one = [F.when(F.col(x).isNotNull(), F.xxhash64(x)) for x in "abcde"]
+    out = collections.defaultdict(set)
+    for r in df.select("k", F.xxhash64(*one).alias("h")).collect():
+        out[r.k].add(r.h)
+    return [out[k] for k in range(len(texts))]
+
+
+def test_fingerprints_and_likenesses_by_hand(spark, docs):
+    rows = sorted((i, t or "") for i, t, *_ in corpus())
+    edited = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for (_, t), (_, after) in zip(rows, rows[1:] + rows[:1])]
+    full = hashed(spark, [t for _, t in rows] + edited)
+    low = lambda h: {x for x in h if x < 2**62 - 2**63}
+    keep = lambda h: (64, h) if len(h) <= 64 else (16, low(h))
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        x, y = (a[1], b[1]) if a[0] == b[0] else (low(a[1]), low(b[1]))
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    own, other = [keep(h) for h in full[: len(rows)]], [keep(h) for h in full[len(rows) :]]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    said = lambda s: f"{s[0]}:" + " ".join(f"{x % (1 << 64):x}" for x in sorted(s[1])) if s[1] else ""
+    for k, (i, _) in enumerate(rows):
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (said(own[k]), said(other[k]))
+        assert math.isclose(got[i].near_edited, alike(own[k], other[k])) and math.isclose(got[i].near_next, alike(own[k], own[(k + 1) % len(rows)]))
+
+
+def test_short_texts_have_sketches_of_their_own(spark):
+    rng = random.Random(2)
+    texts = {" ".join(f"w{rng.randrange(10**6)}" for _ in range(4)) for _ in range(200)}
+    rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in rows}) == len(texts) and all(r.fingerprint for r in rows)
+    assert all(0 < r.near_edited < 1 for r in rows) and all(r.near_next == 0 for r in rows)
+
+
+def test_repeated_and_crowded_ids_have_one_successor_each(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    rows = [(5, "same row here") for _ in range(40)] + [(None, f"text {k}") for k in range(20)] + [(10**15 + k, f"crowded {k}") for k in range(30)] + [(1, "first"), (2 * 10**15, "last")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    edit = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()
+    five = collections.Counter(r.edited_sha256 for r in got if r.doc_id == 5)
+    assert five == {edit("same row here", "same row here"): 39, edit("same row here", "crowded 0"): 1}
+    found = {r.doc_id: r.edited_sha256 for r in got}
+    assert found[1] == edit("first", "same row here") and all(found[10**15 + k] == edit(f"crowded {k}", f"crowded {k + 1}") for k in range(29))
+    assert found[10**15 + 29] == edit("crowded 29", "last")
+
+
 def test_sketches_estimate_and_merge(spark):
     rng = random.Random(5)
     a = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
-    big, part = " ".join(a), " ".join(a[:1000])
-    s = spark.createDataFrame([(big, part)], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
-    r = s.select(fingerprints.containment(F.col("b"), F.col("a")).alias("c"), fingerprints.likeness(F.col("a"), F.col("b")).alias("j"), (fingerprints.merged(F.col("a"), F.col("b")) == F.col("a")).alias("m")).first()
-    assert r.c == 1.0 and abs(r.j - 0.25) < 0.04 and r.m
+    big, part, short = " ".join(a), " ".join(a[:1000]), " ".join(a[2000:2050])
+    s = spark.createDataFrame([(big, part, short)], "a string, b string, c string").select(*(fingerprints.sketch(F.col(x)).alias(x) for x in "abc"))
+    a, b, c = (F.col(x) for x in "abc")
+    r = s.select(fingerprints.containment(b, a).alias("inside"), fingerprints.likeness(a, b).alias("alike"), fingerprints.containment(a, fingerprints.merged(a, b)).alias("whole"), fingerprints.containment(c, a).alias("short"), fingerprints.merged(b, c)["part"].alias("part")).first()
+    assert r.inside > 0.98 and abs(r.alike - 0.25) < 0.04 and r.whole == 1.0 and r.short > 0.6 and r.part == 16
 
 
 def test_licences(spark):
