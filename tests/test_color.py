@@ -158,3 +158,29 @@ def test_text_lines_descend(spark):
     colors = spark.createDataFrame([(0, 2, 0.5), (0, 7, 0.5)], "seq long, block long, w double")
     assert picture.text_lines(colors).first().line == "(7 . 0.500000) (2 . 0.500000) "
     assert picture.text_lines(colors.drop("w")).first().line == "(7 . 1) (2 . 1) "
+
+
+@pytest.mark.parametrize("way", ["fold", "too many terms", "doubling", "strides"])
+@pytest.mark.parametrize("shape", ["dense", "deep", "random"])
+def test_all_ways_of_the_recursion_agree(spark, monkeypatch, way, shape):
+    """Dense: each record spends all of the layer before. Deep: a chain. Both, and random streams, by every strategy."""
+    monkeypatch.setattr(color, "TASK_EDGES", 10_000 if way in ("fold", "too many terms") else 0)
+    monkeypatch.setattr(color, "TASK_TERMS", 5 if way == "too many terms" else 10_000)
+    monkeypatch.setattr(color, "DENSE", 0 if way == "strides" else 10**9)
+    edges = {
+        "dense": [(10 * k + i, 10 * (k - 1) + j) for k in range(1, 6) for i in range(6) for j in range(6)],
+        "deep": [(k, k - 1) for k in range(1, 20)],
+        "random": [(k, random.Random(k).randrange(k)) for k in range(1, 40) for _ in range(2)],
+    }[shape]
+    edges = sorted(set(edges))
+    base = sorted({p for _, p in edges} - {c for c, _ in edges})
+    counts = {s: {s + 100: 1} for s in base}
+    for c, p in edges:
+        own = counts.setdefault(c, {})
+        for b, n in counts[p].items():
+            own[b] = own.get(b, 0) + n
+    b = spark.createDataFrame([(s, s + 100) for s in base], "seq long, block long")
+    e = spark.createDataFrame(edges, "child long, parent long")
+    assert {(r.seq, r.block) for r in color._reach(b, e).collect()} == {(s, x) for s in counts for x in counts[s]}
+    found = color._reach(b.withColumn("w", F.lit(1).cast("long")), e.withColumn("w", F.lit(1).cast("long"))).collect()
+    assert {(r.seq, r.block): r.w for r in found} == {(s, x): n for s in counts for x, n in counts[s].items()}

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tintmill.sources import records as text
 
+# Records and what they mean, which any reader of the format must agree with.
 GOOD = [
     (b"((1231006505 0 9 1 2 3 4) () ((5 6 7)))", (0, 9, 1, [])),
     (b"((1231006506 1 10 1 2 3 4) ((11 12 9 0)) ((5 6 7) (8 9 10)))", (1, 10, 2, [(0, 9, 12)])),
@@ -54,7 +55,7 @@ def test_lines_agree_with_the_byte_parser(spark):
 def test_strict_lines_fail_and_lenient_ones_are_left_out(spark):
     df = spark.createDataFrame([(d.decode(),) for d, _ in BAD] + [(GOOD[0][0].decode(),)], "value string")
     assert text.parse_lines(df, strict=False).count() == 1
-    with pytest.raises(Exception, match="malformed record|does not fit|missing"):
+    with pytest.raises(Exception, match="malformed record|does not fit|fields|integer"):
         text.parse_lines(df).collect()
 
 
@@ -72,3 +73,88 @@ def test_round_trip_through_text(spark, tmp_path):
     read = text.read_lines(spark, str(tmp_path / "t"))
     assert sorted(map(tuple, read.select("seq", "block_id", "tx_id", "outputs").collect())) == sorted(map(tuple, records.collect()))
     assert sorted(map(tuple, text.edges(read).withColumn("pos", F.col("pos").cast("int")).collect())) == sorted(map(tuple, inputs.collect()))
+
+
+def record(k, inputs=0):
+    return f"((0 {k} {k} 0 0 0 0) ({' '.join(f'(0 5 {j} 0)' for j in range(inputs))}) ((0 0 0)))"
+
+
+@pytest.mark.parametrize("n", [10, 400, 100_000])
+def test_records_of_many_inputs(spark, n):
+    df = spark.createDataFrame([(record(7, n),), (record(8, n)[:-1],)], "value string")
+    rows = text.parse_lines(df, strict=False).collect()
+    assert [(r.tx_id, len(r.inputs)) for r in rows] == [(7, n)]
+    assert rows[0].inputs[-1].prev_tx_id == n - 1
+    assert df.select(text.rejected(F.col("value")).alias("r")).collect()[1].r == "malformed record"
+
+
+def test_arrival_follows_names_and_lines_over_unequal_files(spark, tmp_path):
+    want, k = [], 0
+    for f in range(40):
+        n = [1, 30, 2, 400, 0][f % 5]
+        (tmp_path / f"part-{f:03}").write_text("".join(f"{record(k + j, j % 3)}\n" + ("\n" if j % 7 == 0 else "") for j in range(n)))
+        want += range(k, k + n)
+        k += n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for read in (text.read_lines, text.read_files):
+                rows = read(spark, str(tmp_path)).orderBy("seq").collect()
+                assert [int(r.tx_id) for r in rows] == want
+                assert [r.seq for r in rows] == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_free_form_records_over_many_splits(spark, tmp_path):
+    body = "  ".join(record(k, k % 9).replace(" (", "\n(" if k % 3 else " (").replace(" 0", "\n 0" if k % 5 == 0 else " 0") for k in range(300))
+    (tmp_path / "free").write_text(f"\n{body}\n\n")
+    want = list(text.parse_bytes(body.encode()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", "5000b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = text.read_files(spark, str(tmp_path / "free")).orderBy("seq").collect()
+            assert [(int(r.block_id), int(r.tx_id), r.outputs, [(i.pos, int(i.prev_tx_id), int(i.amount)) for i in r.inputs]) for r in rows] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_all_64_bits_in_every_wanted_field(spark):
+    top = (1 << 64) - 1
+    df = spark.createDataFrame([(f"((9{top} {top} {top} 0) ((9{top} {top} {top} 0)) ((9{top} 0 0)))",)], "value string")
+    r = text.parse_lines(df, wide=True).first()
+    assert (r.block_id, r.tx_id, r.inputs[0].prev_tx_id, r.inputs[0].amount) == (top,) * 4
+    with pytest.raises(Exception, match="wider than a long"):
+        text.parse_lines(df).collect()
+    long_zeros = spark.createDataFrame([(f"((0 {'0' * 50}7 8 0) () ())",)], "value string")
+    assert text.parse_lines(long_zeros).first().block_id == 7
+
+
+def test_lenient_reading_never_fails(spark):
+    wide = "9" * 26
+    bad = [f"((0 {wide} 1) () ())", f"((0 1 {wide}) () ())", f"((0 1 2) ((0 {wide} 1)) ())", f"((0 1 2) ((0 1 1) (0 1 {wide})) ())", f"((0 {(1 << 64)} 1) () ())", "((1 2 3) ((0 0) (1 2 3)) ())", "(", ")", "((1 2 3) () ()) ((1 2 3) () ())", "\u00e9"]
+    df = spark.createDataFrame([(x,) for x in [*bad, "((0 1 2) () ())", "", "  "]], "value string")
+    assert [r.tx_id for r in text.parse_lines(df, strict=False).collect()] == [2]
+    assert df.filter(text.rejected(F.col("value")).isNotNull()).count() == len(bad)
+
+
+def test_errors_name_the_file_and_the_byte(spark, tmp_path):
+    (tmp_path / "a").write_text("".join(f"{record(k)}\n" for k in range(50)))
+    good = "".join(f"{record(k, 2)}\n" for k in range(60))
+    (tmp_path / "b").write_text(f"{good}((1 -9 3) () ())\n{record(1)}\n")
+    assert text.first_rejected(spark, str(tmp_path / "a")) is None
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("500b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            file, what = text.first_rejected(spark, str(tmp_path))
+            assert file.endswith("/b")
+            with pytest.raises(text.RecordError) as error:
+                list(text.parse_bytes((tmp_path / "b").read_bytes()))
+            assert what == str(error.value)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(Exception, match=r"negative integer in file:.*/b"):
+        text.read_lines(spark, str(tmp_path)).collect()

@@ -43,3 +43,18 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_text(lines: DataFrame, order: str = "seq") -> str:
+    """A folder with the column ``value`` as text files whose names follow ``order``. It goes when Python ends."""
+    spark = lines.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a ``written`` table that nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        _remove(df.sparkSession, path)

@@ -12,7 +12,7 @@ from ..operators import color, forest, layout, picture, utxo
 from ..sources import graphs
 from ..sources import records as text
 from . import fixtures
-from .lineage import cut
+from .lineage import cut, written_text
 
 BIN, LIMIT, NARROW = 100, 1000, 100
 
@@ -40,8 +40,7 @@ def _millionths(c) -> F.Column:
 
 
 def scan_records(spark, sf_dir):
-    records, inputs = _stream(spark, sf_dir)
-    read = text.parse_lines(text.lines(records, inputs))
+    read = text.read_lines(spark, written_text(text.lines(*_stream(spark, sf_dir))))
     paid = F.aggregate("inputs", F.lit(0).cast("long"), lambda s, i: s + i["amount"])
     return read.select("seq", "block_id", "tx_id", "outputs", F.size("inputs").cast("long").alias("n_inputs"), paid.alias("paid"))
 

@@ -14,75 +14,126 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A whole record on one line: three lists, of integers, of lists and of lists.
-_LIST = r"\(\s*(?:\d+\s*)*\)"
-_RECORD = rf"^\s*\(\s*{_LIST}\s*\(\s*(?:{_LIST}\s*)*\)\s*\(\s*(?:{_LIST}\s*)*\)\s*\)\s*$"
+#: A whole record on one line: three lists, of integers, of lists and of lists. Possessive throughout, so that no
+#: list is too long for the matcher's stack and no line is tried twice.
+_LIST = r"\((?:\s*+\d++)*+\s*+\)"
+_LISTS = rf"\((?:\s*+{_LIST})*+\s*+\)"
+_RECORD = rf"^\s*+\(\s*+{_LIST}\s*+{_LISTS}\s*+{_LISTS}\s*+\)\s*+$"
 WIDEST = (1 << 64) - 1
+#: Where a row comes from: its file, the split of it, and its place among the split's rows.
+_PLACE = ("_file", "_split", "_mark")
+
+
+def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, _file, _split, _mark): the lines of text files and where they stand."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_split")).withColumn("_mark", F.monotonically_increasing_id())
 
 
 def arrival(df: DataFrame) -> DataFrame:
-    """``df`` with a dense ``seq`` in the order of its partitions and rows: counts by partition, then an offset each."""
-    marked = df.withColumn("_mark", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mark", 33))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    return marked.join(offsets, "_part").withColumn("seq", F.col("_before") + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mark", "_part", "_n", "_before")
+    """Rows that follow the lines of ``lines_of``, with a dense ``seq``: by file, by the split's place in it, then by row.
+
+    Spark deals splits to partitions by size, so partitions say nothing about order, but a split's
+    rows stay together in one. Splits are counted; only that table, a row a split, is sorted.
+    """
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    counts = marked.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    return _numbered(marked, counts, F.col("_at") - F.col("_low")).drop("_at", "_low", *_PLACE)
+
+
+def _numbered(df: DataFrame, counts: DataFrame, inside: Column) -> DataFrame:
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).drop("_n").withColumnsRenamed({"_file": "_f", "_split": "_s"})
+    return df.join(offsets, (F.col("_file") == F.col("_f")) & (F.col("_split") == F.col("_s"))).withColumn("seq", F.col("_before") + inside).drop("_f", "_s", "_before")
 
 
 def _json(line: Column) -> Column:
     """A record as a JSON array: lists become arrays, white space between elements a comma."""
-    out = F.regexp_replace(F.trim(line), r"\s+", " ")
+    out = F.regexp_replace(F.trim(line), r"\s++", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"\( ", "("), r" \)", ")")
-    out = F.regexp_replace(out, r"\)\s*\(", ") (")
+    out = F.regexp_replace(out, r"\) ?\(", ") (")
     return F.translate(out, "() ", "[],")
 
 
-def _checked(field: Column, what: str) -> Column:
-    """A wanted field as a long; absent ones, and ones that no 64 bits hold, raise an error."""
-    wide = field.cast("decimal(38,0)")
-    return (
-        F.when(field.isNull(), F.raise_error(F.lit(f"{what} is missing a field")).cast("long"))
-        .when((F.length(field) > 38) | (wide > F.lit(str(WIDEST)).cast("decimal(20,0)")), F.raise_error(F.concat(F.lit("does not fit in a usize: "), field)).cast("long"))
-        .when(wide > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)"), F.raise_error(F.concat(F.lit("wider than a long, read it as a decimal: "), field)).cast("long"))
-        .otherwise(F.try_to_number(field, F.lit("9" * 19)).cast("long"))
-    )
+def _parts(line: Column) -> tuple[Column, Column, Column]:
+    """Header fields, lists of input fields and the number of outputs of a line that is a record, digits as text."""
+    read = lambda x, kind: F.from_json(x, kind, {"allowNumericLeadingZeros": "true"})
+    parts = read(_json(line), "array<string>")
+    return read(F.get(parts, F.lit(0)), "array<string>"), read(F.get(parts, F.lit(1)), "array<array<string>>"), F.size(read(F.get(parts, F.lit(2)), "array<string>"))
+
+
+def _too_wide(field: Column, most: int) -> Column:
+    """Whether a run of digits is a number beyond ``most``."""
+    short = F.regexp_replace(field, r"^0++(?=\d)", "")
+    size = len(str(most))
+    return (F.length(short) > size) | ((F.length(short) == size) & (short > F.lit(str(most))))
 
 
-def parse_lines(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
-    """(block_id, tx_id, outputs, inputs: array of (pos, prev_tx_id, amount)) of one record a line.
+def parse_lines(lines: DataFrame, column: str = "value", strict: bool = True, wide: bool = False) -> DataFrame:
+    """(block_id, tx_id, outputs, inputs: array of (pos, prev_tx_id, amount)) of one record a line, beside the other columns.
 
-    Only wanted fields are converted: others may be any run of digits. Blank lines are skipped. A
-    malformed line raises an error, or without ``strict`` is left out (see ``rejected``).
+    Only wanted fields are converted: others may be any run of digits. Numbers are longs, or with
+    ``wide`` decimals of 20 digits, which hold all 64 unsigned bits. Blank lines are skipped. A
+    malformed line raises an error, or without ``strict`` is left out (see ``rejected``); so does a
+    number that a long doesn't hold, unless ``wide``.
     """
-    line = F.col(column)
+    line, rest = F.col(column), [c for c in lines.columns if c != column]
     own = lines.filter(F.length(F.trim(line)) > 0)
+    reason = rejected(line)
     if strict:
-        bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring(line, 1, 200)))
-        own = own.withColumn(column, F.when(line.rlike(_RECORD), line).otherwise(bad))
+        where = F.concat(F.lit(" in "), F.col("_file")) if "_file" in rest else F.lit("")
+        said = F.raise_error(F.concat(reason, where, F.lit(": "), F.substring(line, 1, 200)))
+        own = own.withColumn(column, F.when(reason.isNull(), line).otherwise(said))
     else:
-        own = own.filter(line.rlike(_RECORD) & rejected(line).isNull())
-    parts = own.withColumn("_p", F.from_json(_json(line), "array<string>"))
-    header, paid, made = (F.from_json(F.get("_p", F.lit(k)), f"array<{t}>") for k, t in ((0, "string"), (1, "array<string>"), (2, "string")))
-    parts = parts.select(*[c for c in own.columns if c != column], header.alias("_h"), paid.alias("_i"), F.size(made).alias("outputs"))
-    one = lambda x, i: F.struct(i.alias("pos"), _checked(F.get(x, F.lit(2)), "input").alias("prev_tx_id"), _checked(F.get(x, F.lit(1)), "input").alias("amount"))
-    return parts.select(*[c for c in own.columns if c != column], _checked(F.get("_h", F.lit(1)), "record header").alias("block_id"), _checked(F.get("_h", F.lit(2)), "record header").alias("tx_id"), F.col("outputs").cast("long").alias("outputs"), F.transform("_i", one).alias("inputs"))
+        own = own.filter(reason.isNull())
+    kind, most = ("decimal(20,0)", WIDEST) if wide else ("long", (1 << 63) - 1)
+
+    def number(field: Column) -> Column:
+        said = F.raise_error(F.concat(F.lit("wider than a long, read it as a decimal: "), field)).cast(kind)
+        value = F.regexp_replace(field, r"^0++(?=\d)", "").cast(kind)
+        return value if wide else F.when(_too_wide(field, most), said).otherwise(value)
+
+    header, paid, made = _parts(line)
+    own = own.select(*rest, header.alias("_h"), paid.alias("_i"), made.alias("_o"))
+    one = lambda x, i: F.struct(i.alias("pos"), number(F.get(x, F.lit(2))).alias("prev_tx_id"), number(F.get(x, F.lit(1))).alias("amount"))
+    return own.select(*rest, number(F.get("_h", F.lit(1))).alias("block_id"), number(F.get("_h", F.lit(2))).alias("tx_id"), F.col("_o").cast("long").alias("outputs"), F.transform("_i", one).alias("inputs"))
 
 
 def rejected(line: Column) -> Column:
-    """Why a line is no record; null for a good or blank one."""
-    few = F.size(F.split(F.trim(F.regexp_extract(line, r"\(\s*\(([^()]*)\)", 1)), r"\s+"))
+    """Why a line is no record; null for a good or blank one. Every wanted field is looked at."""
+    header, paid, _ = _parts(F.when(line.rlike(_RECORD), line))
+    at = lambda x, k: F.get(x, F.lit(k))
+    beyond = lambda x: F.coalesce(_too_wide(at(x, 1), WIDEST) | _too_wide(at(x, 2), WIDEST), F.lit(False))
     return (
         F.when(F.length(F.trim(line)) == 0, None)
         .when(line.rlike(r"-\d"), "negative integer")
         .when(line.rlike(r"[^\s()0-9]"), "expected an integer")
         .when(~line.rlike(_RECORD), "malformed record")
-        .when(few < 3, F.concat(F.lit("record header has "), few.cast("string"), F.lit(" fields")))
-        .when(F.regexp_extract(line, r"^\s*\(\s*\([^()]*\)\s*\(((?:\s*\([^()]*\))*)\s*\)", 1).rlike(r"\(\s*(?:\d+(?:\s+\d+)?)?\s*\)"), "input has too few fields")
-        .when(F.regexp_extract(line, r"(\(\s*\d+\s+(\d+)\s+(\d+))", 2).cast("decimal(38,0)") > F.lit(str(WIDEST)).cast("decimal(20,0)"), "does not fit in a usize")
-        .when(F.regexp_extract(line, r"(\(\s*\d+\s+(\d+)\s+(\d+))", 3).cast("decimal(38,0)") > F.lit(str(WIDEST)).cast("decimal(20,0)"), "does not fit in a usize")
+        .when(F.size(header) < 3, F.concat(F.lit("record header has "), F.size(header).cast("string"), F.lit(" fields")))
+        .when(F.exists(paid, lambda x: F.size(x) < 3), "input has too few fields")
+        .when(beyond(header) | F.exists(paid, beyond), "does not fit in a usize")
     )
 
 
+def first_rejected(spark: SparkSession, path: str | list[str]) -> tuple[str, str] | None:
+    """(file, what is wrong at which byte offset) of the first malformed line in arrival order; None if all are records.
+
+    Only counts of bytes are summed: of the splits before, and of the failing split's lines before.
+    """
+    own = lines_of(spark, path).withColumn("_bytes", F.octet_length("value") + 1)
+    bad = own.filter(rejected(F.col("value")).isNotNull()).orderBy(*_PLACE).limit(1).first()
+    if bad is None:
+        return None
+    same = own.filter((F.col("_file") == bad["_file"]) & ((F.col("_split") < bad["_split"]) | ((F.col("_split") == bad["_split"]) & (F.col("_mark") < bad["_mark"]))))
+    begin = int(same.agg(F.sum("_bytes")).first()[0] or 0)
+    try:
+        list(parse_bytes(bad["value"].encode("utf-8", "surrogatepass")))
+    except RecordError as error:
+        what, _, at = str(error).rpartition(" at byte offset ")
+        return bad["_file"], f"{what} at byte offset {begin + int(at)}"
+    return bad["_file"], f"more than a record in a line at byte offset {begin}"
+
+
 _TOKENS = re.compile(rb"\s+|\(|\)|-?\d+|.", re.S)
 
 
@@ -90,11 +141,11 @@ class RecordError(ValueError):
     """A malformed record, with the byte at which it is noticed."""
 
 
-def parse_bytes(data: bytes) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+def parse_bytes(data: bytes, source: str = "") -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
     """(block, tx, outputs, [(pos, prev, amount)]) of each record, which may span lines or share one."""
 
     def fail(what: str, at: int) -> None:
-        raise RecordError(f"{what} at byte offset {at}")
+        raise RecordError(f"{source}{': ' if source else ''}{what} at byte offset {at}")
 
     depth, path, fields, wanted = 0, [0, 0, 0, 0], [], None
     header: list[int] = []
@@ -150,31 +201,55 @@ def parse_bytes(data: bytes) -> Iterator[tuple[int, int, int, list[tuple[int, in
         fail("record is cut short", len(data))
 
 
-_FILE = "seq long, block_id decimal(20,0), tx_id decimal(20,0), outputs long, inputs array<struct<pos:int,prev_tx_id:decimal(20,0),amount:decimal(20,0)>>"
+_FREE = "_file string, _split long, _mark long, _k long, block_id decimal(20,0), tx_id decimal(20,0), outputs long, inputs array<struct<pos:int,prev_tx_id:decimal(20,0),amount:decimal(20,0)>>"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of whole files, whatever their line breaks, in the files' order; numbers keep all 64 unsigned bits.
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records whatever their line breaks, in the files' order; numbers keep all 64 unsigned bits.
 
-    A record may span lines, so a file is one task here; ``read_lines`` splits files of one record a line.
+    Lines are the unit that files are split into, and a record may span any number of them: how deep
+    each line starts in brackets is a running sum, within a split and over the splits. Lines belong
+    to the last one before them that starts at depth 0, and those groups are parsed in parallel. So
+    no task holds more than a split, or a record and the lines it shares.
     """
     from decimal import Decimal
 
+    value = F.col("value")
+    step = F.length(F.regexp_replace(value, r"[^(]++", "")) - F.length(F.regexp_replace(value, r"[^)]++", ""))
+    own = lines_of(spark, path).withColumn("_step", step.cast("long"))
+    order = Window.partitionBy("_file", "_split").orderBy("_mark").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("_file", "_split").agg(F.sum("_step").alias("_sum")).withColumn("_deep", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
+    own = own.join(sums.drop("_sum"), ["_file", "_split"]).withColumn("_deep", F.col("_deep") + F.coalesce(F.sum("_step").over(order), F.lit(0)))
+    # The last line at depth 0: within the split, or the last one of an earlier split.
+    head = F.when(F.col("_deep") == 0, F.struct(F.col("_split").alias("s"), F.col("_mark").alias("m")))
+    within = Window.partitionBy("_file", "_split").orderBy("_mark").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_near", F.last(head, ignorenulls=True).over(within))
+    ends = own.groupBy("_file", "_split").agg(F.max(head).alias("_end")).withColumn("_far", F.last("_end", ignorenulls=True).over(upto)).drop("_end")
+    own = own.join(ends, ["_file", "_split"]).withColumn("_head", F.coalesce("_near", "_far"))
+    groups = own.groupBy("_file", "_head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_split", "_mark", "value"))), lambda x: x["value"]), "\n").alias("_text"))
+
     def run(batches):
+        wide = pa.decimal128(20, 0)
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("prev_tx_id", wide), ("amount", wide)]))
+        schema = pa.schema([("_file", pa.string()), ("_split", pa.int64()), ("_mark", pa.int64()), ("_k", pa.int64()), ("block_id", wide), ("tx_id", wide), ("outputs", pa.int64()), ("inputs", kind)])
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = [{"seq": k, "block_id": Decimal(b), "tx_id": Decimal(t), "outputs": o, "inputs": [{"pos": p, "prev_tx_id": Decimal(q), "amount": Decimal(a)} for p, q, a in i]} for k, (b, t, o, i) in enumerate(parse_bytes(data))]
-                wide = pa.decimal128(20, 0)
-                kind = pa.list_(pa.struct([("pos", pa.int32()), ("prev_tx_id", wide), ("amount", wide)]))
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("seq", pa.int64()), ("block_id", wide), ("tx_id", wide), ("outputs", pa.int64()), ("inputs", kind)]))
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").repartitionByRange("path").sortWithinPartitions("path")
-    return arrival(files.mapInArrow(run, _FILE).drop("seq"))
-
-
-def read_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Records of text files with one record a line, with their arrival order."""
-    return arrival(parse_lines(spark.read.text(path), strict=strict))
+            rows = []
+            for file, split, mark, text in zip(*(batch.column(k).to_pylist() for k in ("_file", "_s", "_m", "_text"))):
+                for k, (b, t, o, i) in enumerate(parse_bytes(text.encode("utf-8", "surrogatepass"), file)):
+                    paid = [{"pos": p, "prev_tx_id": Decimal(q), "amount": Decimal(a)} for p, q, a in i]
+                    rows.append({"_file": file, "_split": split, "_mark": mark, "_k": k, "block_id": Decimal(b), "tx_id": Decimal(t), "outputs": o, "inputs": paid})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    narrow = groups.select("_file", F.col("_head.s").alias("_s"), F.col("_head.m").alias("_m"), "_text")
+    found = narrow.mapInArrow(run, _FREE)
+    inside = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_mark", "_k")) - 1
+    return _numbered(found.withColumn("_in", inside), found.groupBy("_file", "_split").agg(F.count("*").alias("_n")), F.col("_in")).drop("_in", "_k", *_PLACE)
+
+
+def read_lines(spark: SparkSession, path: str | list[str], strict: bool = True, wide: bool = False) -> DataFrame:
+    """Records of text files with one record a line, with their arrival order: files by name, then lines."""
+    return arrival(parse_lines(lines_of(spark, path), strict=strict, wide=wide))
 
 
 def edges(parsed: DataFrame) -> DataFrame:
