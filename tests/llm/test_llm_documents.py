@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -490,6 +491,17 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: ("MIT", "MIT"), 3: (None, ""), 4: (None, "Apache-2.0"), 5: ("MIT", "MIT"), 6: (None, ""), 7: (None, "")}
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_full_texts_of_long_licences(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = dict(licences.read_known("/usr/share/common-licenses"))
+    rows = []
+    for k, (file, name) in enumerate(names.items()):
+        rows += [(k, name, texts[file]), (100 + k, name, "Copyright 2020 Somebody\n\n" + " ".join(texts[file].replace("\n\n", "\n").split(" ")).upper()), (200 + k, None, texts[file] + " more")]
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")).collect()}
+    assert got == {k: name for k, name, _ in rows}
+
+
 def test_quality_is_learnt(spark):
     rng = random.Random(4)
     rows, labels = [], []

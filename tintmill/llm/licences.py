@@ -9,6 +9,7 @@ spelling is replaced word for word, so the number of words alone rules most text
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,25 @@ TITLES = {
 }
 KNOWN += [(name, f"{title}\n\n{text}") for name, text in KNOWN if "\n" in text for title in TITLES[name]]
 
-_COPYRIGHT = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)"
+#: A copyright line names a year, or where it goes; a line of prose that happens to begin with the word doesn't.
+_COPYRIGHT = r"^[ \t]*((copyright|\(c\)|©).*([0-9]{4}|\(c\)|©|yyyy|<year>)|©|all rights reserved)"
+
+# Licences whose texts are too long to stand here, by the digest of their canonical form, and its words.
+DIGESTS = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", 1602),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", 983),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 1088),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71", 3315),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6", 3732),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", 2067),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", 2975),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", 5684),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 4200),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 4401),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 1231),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1", 3789),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 2426),
+]
 
 
 def _plain(lines: Column) -> Column:
@@ -114,13 +133,21 @@ def canonical(text: Column) -> Column:
     return _spelt(_plain(_lines(text)))
 
 
-def digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id, n_words) of known licence texts, a digest once."""
+def digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN, longer: Sequence[tuple[str, str, int]] = DIGESTS) -> DataFrame:
+    """(digest, license_id, n_words) of known licence texts and digests, a digest once."""
     rows = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(F.col("text")).alias("c"))
-    return rows.filter("c <> ''").groupBy(F.sha2(F.col("c").cast("binary"), 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.first(F.size(F.split("c", " "))).alias("n_words"))
+    own = rows.filter("c <> ''").select("license_id", F.sha2(F.col("c").cast("binary"), 256).alias("digest"), F.size(F.split("c", " ")).alias("n_words"))
+    if longer:
+        own = own.unionByName(spark.createDataFrame(list(longer), "license_id string, digest string, n_words int"))
+    return own.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("n_words").alias("n_words"))
+
+
+def read_known(folder: str) -> list[tuple[str, str]]:
+    """(license_id, text) of a folder's text files, to be scanned for beside the list here; files are named for their licence."""
+    return [(p.name.removesuffix(".txt"), p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file()]
 
 
-def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, longer: Sequence[tuple[str, str, int]] = DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id ``doc_id, license_id, notices``.
 
     ``license_id`` is the known licence that the entire text is, ``notices`` those that single lines
@@ -132,7 +159,7 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str
     gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    listed = digests(spark, known).collect()
+    listed = digests(spark, known, longer).collect()
     counts = sorted({r["n_words"] for r in listed}) or [0]
     table = small(spark.createDataFrame([(r["digest"], r["license_id"]) for r in listed], "digest string, license_id string"), len(listed))
 
@@ -148,21 +175,24 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str
 
 
 def oracle() -> str:
-    """The scan in DuckDB's SQL, comparing canonical texts themselves; from ``documents``."""
+    """The scan in DuckDB's SQL, comparing digests of canonical texts; from ``documents``."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     spelt = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in EQUIVALENT.items()) + "}"
-    plain = lambda lines: f"trim(regexp_replace(array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '^[ \\t]*(copyright|\\(c\\)|©|all rights reserved)')), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    plain = lambda lines: f"trim(regexp_replace(array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '{_COPYRIGHT}')), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     words = lambda c: f"array_to_string(list_transform(string_split({c}, ' '), lambda w: coalesce({spelt}[w], w)), ' ')"
+    longer = ", ".join(f"({quote(a)}, {quote(b)}, {n})" for a, b, n in DIGESTS)
     return f"""
-WITH known AS (SELECT min(license_id) AS license_id, c FROM (SELECT license_id, {words(plain("string_split(lower(text), chr(10))"))} AS c FROM (VALUES {known}) k(license_id, text)) GROUP BY c),
+WITH texts AS (SELECT license_id, {words(plain("string_split(lower(text), chr(10))"))} AS c FROM (VALUES {known}) k(license_id, text)),
+listed AS (SELECT license_id, sha256(c) AS digest, len(string_split(c, ' ')) AS n FROM texts UNION ALL SELECT * FROM (VALUES {longer}) l(license_id, digest, n)),
+known AS (SELECT min(license_id) AS license_id, digest FROM listed GROUP BY digest),
 lined AS (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
-counts AS (SELECT DISTINCT len(string_split(c, ' ')) AS n FROM known),
+counts AS (SELECT DISTINCT n FROM listed),
 units AS (
   SELECT doc_id, true AS whole, {plain("lines")} AS t FROM lined
   UNION ALL SELECT doc_id, false, {plain("[line]")} FROM (SELECT doc_id, unnest(lines) AS line FROM lined WHERE len(lines) > 1)),
 spelt AS (SELECT doc_id, whole, {words("t")} AS c FROM units WHERE t <> '' AND len(string_split(t, ' ')) IN (SELECT n FROM counts)),
-named AS (SELECT doc_id, whole, license_id FROM spelt JOIN known USING (c))
+named AS (SELECT doc_id, whole, license_id FROM spelt JOIN known ON sha256(c) = digest)
 SELECT d.doc_id, min(CASE WHEN whole THEN license_id END) AS license_id, coalesce(array_to_string(list_sort(list_distinct(list(license_id))), ' '), '') AS notices
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN named n ON d.doc_id IS NOT DISTINCT FROM n.doc_id GROUP BY d.doc_id
 """
