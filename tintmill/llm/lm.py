@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from .substring import _bits, block_sizes
 from .textops import Words, chunks, deltas, joined, mix, release, undeltas
 
@@ -46,8 +45,8 @@ _MESSAGE = "_block long, _owner long, _row int, _data binary, _more binary"
 _ARROW = pa.schema([("_block", pa.int64()), ("_owner", pa.int64()), ("_row", pa.int32()), ("_data", pa.binary()), ("_more", pa.binary())])
 _ZSTD = pa.Codec("zstd")
 _TOKEN, _GRAM = range(2)
-#: Low bits of a key that are sent as they are; the rest are sent as differences.
-_LOW = 24
+#: Low bits of a key that are sent as they are (some bytes and a half); the rest are sent as differences.
+_LOW = 28
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -63,19 +62,24 @@ def _unnumbers(data: bytes) -> np.ndarray:
 
 
 def _keys(x: np.ndarray) -> bytes:
-    """Ascending keys: differences of their high bits, compressed, and planes of their low bytes."""
+    """Ascending keys: differences of their high bits, compressed, and planes of their low bytes and half bytes."""
     high = deltas(x >> np.uint64(_LOW))
     packed = _ZSTD.compress(high, asbytes=True)
     low = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, : _LOW // 8].T.tobytes()
-    return len(high).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + low
+    half = ((x >> np.uint64(_LOW - 4)) & np.uint64(15)).astype(np.uint8)
+    half = np.append(half, np.zeros(len(half) % 2, np.uint8))
+    return b"".join([len(high).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed, low, (half[0::2] << 4 | half[1::2]).tobytes()])
 
 
 def _unkeys(data: bytes) -> np.ndarray:
     size, end = int.from_bytes(data[:4], "little"), 8 + int.from_bytes(data[4:8], "little")
     high = undeltas(_ZSTD.decompress(data[8:end], size, asbytes=True))
-    low = np.zeros((len(high), 8), np.uint8)
-    low[:, : _LOW // 8] = np.frombuffer(data, np.uint8, offset=end).reshape(_LOW // 8, -1).T
-    return high << np.uint64(_LOW) | low.view("<u8").reshape(-1)
+    n, planes = len(high), _LOW // 8
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :planes] = np.frombuffer(data, np.uint8, planes * n, end).reshape(planes, -1).T
+    pairs = np.frombuffer(data, np.uint8, offset=end + planes * n)
+    half = np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[:n]
+    return high << np.uint64(_LOW) | half.astype(np.uint64) << np.uint64(_LOW - 4) | low.view("<u8").reshape(-1)
 
 
 def _table(rows: list) -> pa.Table:
@@ -157,9 +161,9 @@ def _ask(sizes: _Sizes):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         texts, learnt, _ = _read(t)
         own, block, out = _Grams(texts, learnt, sizes), key[0].as_py(), []
-        for kind, keys, n, write in ((_TOKEN, own.tokens, own.token_n, deltas), (_GRAM, own.keys, own.key_n, _keys)):
+        for kind, keys, n in ((_TOKEN, own.tokens, own.token_n), (_GRAM, own.keys, own.key_n)):
             owner = sizes.owners(kind, keys)
-            out += [(block, int(owner[a]), kind, write(keys[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
+            out += [(block, int(owner[a]), kind, _keys(keys[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
         return _table(out)
 
     return run
@@ -168,8 +172,8 @@ def _ask(sizes: _Sizes):
 def _add(key: tuple, t: pa.Table) -> pa.Table:
     """Adds the counts of one owner's n-grams and answers each block, in the order of its keys."""
     rows, out = _rows(t), []
-    for kind, read in ((_TOKEN, undeltas), (_GRAM, _unkeys)):
-        asked = [(b, o, read(d), _unnumbers(m)) for b, o, r, d, m in rows if r == kind]
+    for kind in (_TOKEN, _GRAM):
+        asked = [(b, o, _unkeys(d), _unnumbers(m)) for b, o, r, d, m in rows if r == kind]
         if asked:
             distinct, at = np.unique(np.concatenate([k for *_, k, _ in asked]), return_inverse=True)
             total = np.bincount(at, np.concatenate([n for *_, n in asked]), len(distinct)).astype(np.int64)
@@ -244,7 +248,7 @@ def _distinct(bits: int):
         tokens = np.unique(np.concatenate([np.array([_END]), *held])) if n else np.zeros(0, np.uint64)
         owner = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
         parts = _borders(owner)
-        return pa.RecordBatch.from_pydict({"_owner": [int(owner[a]) for a, _ in parts], "_data": [deltas(tokens[a:b]) for a, b in parts], "_n": [n * (k == 0) for k in range(len(parts))]}, schema=pa.schema([("_owner", pa.int64()), ("_data", pa.binary()), ("_n", pa.int64())]))
+        return pa.RecordBatch.from_pydict({"_owner": [int(owner[a]) for a, _ in parts], "_data": [_keys(tokens[a:b]) for a, b in parts], "_n": [n * (k == 0) for k in range(len(parts))]}, schema=pa.schema([("_owner", pa.int64()), ("_data", pa.binary()), ("_n", pa.int64())]))
 
     def run(batches):
         held, size, n = [], 0, 0
@@ -266,7 +270,7 @@ def _distinct(bits: int):
 
 
 def _count_distinct(t: pa.Table) -> pa.Table:
-    return pa.table({"_distinct": [len(np.unique(np.concatenate([undeltas(d) for d in t.column("_data").to_pylist()])))]})
+    return pa.table({"_distinct": [len(np.unique(np.concatenate([_unkeys(d) for d in t.column("_data").to_pylist()])))], "_n": [sum(t.column("_n").to_pylist())]})
 
 
 def scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +287,9 @@ def scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(learn_from, F.lit(False)).alias("_learnt"))
     chars = int(own.agg(F.sum(F.length("_text"))).first()[0] or 0)
     sizes = _Sizes(chars)
-    tokens = cut(own.filter("_learnt").select("_text").mapInArrow(_distinct(sizes.owner_bits), "_owner long, _data binary, _n long"))
-    total = int(tokens.agg(F.sum("_n")).first()[0] or 0)
-    distinct = int(tokens.groupBy("_owner").applyInArrow(_count_distinct, "_distinct long").agg(F.sum("_distinct")).first()[0] or 0)
+    tokens = own.filter("_learnt").select("_text").mapInArrow(_distinct(sizes.owner_bits), "_owner long, _data binary, _n long")
+    sums = tokens.groupBy("_owner").applyInArrow(_count_distinct, "_distinct long, _n long").agg(F.sum("_n"), F.sum("_distinct")).first()
+    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
 
     dealt = own.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(sizes.blocks)).cast("long"))
     asked = dealt.groupBy("_block").applyInArrow(_ask(sizes), _MESSAGE)
