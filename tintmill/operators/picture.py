@@ -46,11 +46,21 @@ def packed(pixels: DataFrame, width: int, rows: int) -> DataFrame:
     """(row, bytes): every row's bits, the leftmost block in the highest; blank rows too."""
     size = -(-width // 8)
     bits = pixels.groupBy("row", F.expr("block div 8").cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftright(128, cast(block % 8 as int))")).alias("bits"))
-    own = bits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("byte", "bits"))).alias("at"))
-    every = pixels.sparkSession.range(rows).withColumnRenamed("id", "row").join(own, "row", "left")
-    of = lambda k: F.lpad(F.hex(F.coalesce(F.try_element_at("at", k.cast("int")), F.lit(0))), 2, "0")
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), of), "") if size else F.lit("")
-    return every.select("row", F.unhex(F.coalesce(text, F.lit("00" * size))).alias("bytes"))
+    return byte_rows(bits, size, rows)
+
+
+def byte_rows(cells: DataFrame, size: int, rows: int, paper: int = 0) -> DataFrame:
+    """(row, bytes) of so many rows of ``size`` bytes, from the bytes (row, byte, bits) that aren't paper.
+
+    A row's bytes are sorted once; between neighbours, and at the ends, the gap is filled.
+    """
+    own = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("byte", "bits"))).alias("at"))
+    every = cells.sparkSession.range(rows).withColumnRenamed("id", "row").join(own, "row", "left")
+    blank = lambda n: F.repeat(F.lit(f"{paper:02X}"), n)
+    place = lambda k: F.get("at", k)["byte"]
+    drawn = F.transform("at", lambda x, k: F.concat(blank(x["byte"] - F.coalesce(place(k - 1), F.lit(-1)) - 1), F.lpad(F.hex(x["bits"]), 2, "0")))
+    text = F.concat(F.array_join(drawn, ""), blank(F.lit(size - 1) - place(F.size("at") - 1)))
+    return every.select("row", F.unhex(F.coalesce(text, blank(F.lit(size)))).alias("bytes"))
 
 
 def runs(pixels: DataFrame) -> DataFrame:

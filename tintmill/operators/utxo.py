@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Records of a span of the stream, within which a key's events are put in order together.
+SPAN = 1 << 20
+
+
 def limited(records: DataFrame, limit: int | None = 1_000_001) -> DataFrame:
     """The first ``limit`` records by arrival order (all: None)."""
     return records if limit is None else records.filter(F.col("seq") < limit)
@@ -26,14 +30,30 @@ def versions(records: DataFrame) -> DataFrame:
 def spends(records: DataFrame, inputs: DataFrame) -> DataFrame:
     """``inputs`` with ``version_seq`` (null: none), the version's ``outputs`` and the ``spend_rank`` among its spends.
 
-    An as-of join by key and validity interval: an equi-join that adaptive execution can split on a
-    popular key, without a window over all of a key's events.
+    An as-of join over the events of a key, in two levels: within a span of the stream the latest
+    version before an input is found in order, and spans without one take the last of an earlier
+    span. Spends are numbered alike. So a key with a third of all events is dealt over its spans, no
+    version meets a spend that isn't its own, and wide rows are exchanged once.
     """
-    v = versions(records).withColumnRenamed("tx_id", "key")
-    held = (F.col("key") == F.col("prev_tx_id")) & (F.col("version_seq") < F.col("seq")) & (F.col("until_seq").isNull() | (F.col("until_seq") >= F.col("seq")))
-    found = inputs.join(v, held, "left").drop("key", "until_seq")
-    rank = F.row_number().over(Window.partitionBy("prev_tx_id", "version_seq").orderBy("seq", F.col("pos").desc()))
-    return found.withColumn("spend_rank", F.when(F.col("version_seq").isNotNull(), rank.cast("long")))
+    span = F.expr(f"seq div {SPAN}").alias("_span")
+    paid = F.struct(*inputs.columns)
+    bought = inputs.select(F.col("prev_tx_id").alias("_key"), "seq", F.lit(0).alias("_kind"), paid.alias("_input"), F.lit(None).cast("struct<v:bigint,o:bigint>").alias("_made"), span)
+    made = records.filter("outputs > 0").select(F.col("tx_id").alias("_key"), "seq", F.lit(1).alias("_kind"), F.lit(None).cast(bought.schema["_input"].dataType).alias("_input"), F.struct(F.col("seq").alias("v"), F.col("outputs").cast("long").alias("o")).alias("_made"), span)
+    # Inputs come before the version of their own record.
+    inside = Window.partitionBy("_key", "_span").orderBy("seq", "_kind")
+    events = bought.unionByName(made).withColumn("_near", F.last("_made", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = events.groupBy("_key", "_span").agg(F.max("_made").alias("_end"), F.count("_input").alias("_n")).withColumn("_far", F.last("_end", ignorenulls=True).over(earlier))
+    ends = ends.filter("_n > 0").select("_key", "_span", "_far")
+    found = events.filter("_kind = 0").join(ends, ["_key", "_span"]).withColumn("_at", F.coalesce("_near", "_far")).select("_key", "_span", "_input", F.col("_at.v").alias("version_seq"), F.col("_at.o").alias("outputs"))
+    own = Window.partitionBy("_key", "_span", "version_seq").orderBy("_input.seq", F.col("_input.pos").desc())
+    found = found.withColumn("_rank", F.row_number().over(own))
+    before = Window.partitionBy("_key", "version_seq").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy("_key", "_span", "version_seq").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = counts.select(F.col("_key").alias("_k"), F.col("_span").alias("_s"), F.col("version_seq").alias("_v"), "_before").filter("_before > 0")
+    same = (F.col("_key") == F.col("_k")) & (F.col("_span") == F.col("_s")) & (F.col("version_seq") == F.col("_v"))
+    rank = F.when(F.col("version_seq").isNotNull(), F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("long")
+    return found.join(counts, same, "left").select(*(F.col(f"_input.{c}").alias(c) for c in inputs.columns), "version_seq", "outputs", rank.alias("spend_rank"))
 
 
 def unknown(records: DataFrame, inputs: DataFrame) -> DataFrame:

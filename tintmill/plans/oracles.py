@@ -69,6 +69,14 @@ def _poly(f: str) -> str:
     return f"{_KEYS} SELECT k AS o_orderkey, string_agg(e || ':' || c, ' ' ORDER BY e DESC) AS terms FROM (SELECT coalesce(p.k, q.k) AS k, coalesce(p.e, q.e) AS e, CASE WHEN p.c IS NULL THEN q.c WHEN q.c IS NULL THEN p.c ELSE {f} END AS c FROM p FULL JOIN q ON p.k = q.k AND p.e = q.e) GROUP BY k"
 
 
+# A level's walk order is that of the nodes' paths from the root; a node's parent ends the least path that reaches it.
+_PATHS = (
+    f"{_ROOTS}, walk(node, root, depth) AS (SELECT node, root, 0 FROM roots WHERE node = root UNION SELECT r.node, r.root, w.depth + 1 FROM walk w JOIN arcs a ON a.src = w.node JOIN roots r ON r.node = a.dst AND r.root = w.root WHERE w.depth < 200), "
+    "depths AS (SELECT node, root, min(depth) AS depth FROM walk GROUP BY node, root), "
+    "paths(node, root, depth, path) AS (SELECT node, root, depth, [node] FROM depths WHERE depth = 0 "
+    "UNION ALL SELECT d.node, d.root, d.depth, min(list_append(p.path, d.node)) FROM paths p JOIN arcs a ON a.src = p.node JOIN depths d ON d.node = a.dst AND d.root = p.root AND d.depth = p.depth + 1 GROUP BY d.node, d.root, d.depth)"
+)
+
 ORACLES: dict[str, str] = {
     "scan_records": f"{_STREAM} SELECT seq, block_id, tx_id, outputs, coalesce(n, 0) AS n_inputs, coalesce(paid, 0)::BIGINT AS paid FROM recs LEFT JOIN (SELECT tx_id, count(*) AS n, sum(amount) AS paid FROM ins GROUP BY 1) USING (tx_id)",
     "scan_prune": f"{_STREAM} SELECT seq, block_id, tx_id FROM recs",
@@ -116,5 +124,7 @@ SELECT '<svg xmlns="http://www.w3.org/2000/svg" width="' || w || '" height="' ||
     "human_size": "SELECT o_orderkey, CASE WHEN b < 1e3 THEN CAST(b AS BIGINT) || ' B' WHEN b < 1e6 THEN printf('%.1f kB', b / 1e3) WHEN b < 1e9 THEN printf('%.1f MB', b / 1e6) WHEN b < 1e12 THEN printf('%.1f GB', b / 1e9) ELSE printf('%.1f TB', b / 1e12) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * CASE o_orderkey % 3 WHEN 0 THEN 50 WHEN 1 THEN 1 ELSE 100000 END AS DOUBLE) AS b FROM orders)",
     "forest_roots": f"{_ROOTS} SELECT node, root FROM roots",
     "forest_depth": f"{_ROOTS}, walk(node, root, depth) AS (SELECT node, root, 0 FROM roots WHERE node = root UNION SELECT r.node, r.root, w.depth + 1 FROM walk w JOIN arcs a ON a.src = w.node JOIN roots r ON r.node = a.dst AND r.root = w.root WHERE w.depth < 200) SELECT node, root, min(depth) AS depth FROM walk GROUP BY node, root",
+    "forest_parents": f"{_PATHS} SELECT node, root, CASE WHEN depth > 0 THEN path[depth] END AS parent, row_number() OVER (PARTITION BY root ORDER BY depth, path) AS rank FROM paths",
+    "forest_leaves": f"{_PATHS} SELECT node FROM paths p WHERE node NOT IN (SELECT path[depth] FROM paths WHERE depth > 0)",
     "forest_summary": f"{_ROOTS}, facts AS (SELECT count(*) AS nodes, count(*) FILTER (WHERE node = root) AS roots, (SELECT count(*) FROM arcs) AS arcs FROM roots) SELECT nodes, roots, roots > 1 AS synthetic_root, arcs - (nodes - roots) AS dropped_arcs, nodes || ' nodes, ' || roots || ' root(s)' || CASE WHEN roots > 1 THEN ', one added root standing for no node' ELSE '' END || CASE WHEN arcs - (nodes - roots) > 0 THEN chr(10) || (arcs - (nodes - roots)) || ' arc(s) not drawn: they would have given a node a second parent' ELSE '' END AS text FROM facts",
 }
