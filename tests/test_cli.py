@@ -33,7 +33,14 @@ def test_pictures(spark, tmp_path, records, capsys):
     pbm, svg = tmp_path / "p.pbm", tmp_path / "p.svg"
     run(spark, tmp_path, records, "--pbm", str(pbm), "--stats")
     assert pbm.read_bytes() == b"P4\n10 " + b"4".rjust(20) + b"\n" + bytes.fromhex("80004000c000c000")
-    assert "picture: 10 columns x 4 rows" in capsys.readouterr().err
+    said = capsys.readouterr().err.splitlines()
+    assert said[0] == "4 records over 10 blocks, so a 10 x 4 picture"
+    assert "picture: 10 columns x 4 rows" in said and "picture: 4 runs, 1 a row: 2 bytes a row as --pbm, 7 as --svg" in said
+    assert any(x.endswith("  total") and "         4 records " in x for x in said)
+    (tmp_path / "none").write_text("\n")
+    run(spark, tmp_path, str(tmp_path / "none"), "--pbm", str(pbm))
+    assert capsys.readouterr().err.splitlines() == [f"no records, so {pbm} is empty"]
+    assert pbm.read_bytes() == b"P4\n0 " + b"0".rjust(20) + b"\n"
     run(spark, tmp_path, records, f"--svg={svg}", "--bin", "2", "--blocks=16")
     assert 'width="16" height="2"' in svg.read_text() and svg.read_text().endswith('d="M0 0h2m-2 1h2"/></svg>\n')
     with pytest.raises(ValueError, match="--blocks 2 or more"):
@@ -43,13 +50,54 @@ def test_pictures(spark, tmp_path, records, capsys):
 def test_a_spend_of_something_unknown_stops_the_run(spark, tmp_path):
     path = tmp_path / "bad.txt"
     path.write_text("((0 0 1 0) () ((0 0 0)))\n((0 1 2 0) ((0 1 7 0)) ())\n")
-    with pytest.raises(Exception, match="transaction 2 spends unknown transaction 7"):
+    with pytest.raises(cli.RunError, match="^transaction 2 spends unknown transaction 7$"):
         run(spark, tmp_path, str(path))
+    assert (tmp_path / "out").read_text() == "(0 . 1) \n"
+
+
+@pytest.mark.parametrize("bad", ["((0 3 -4 0) () ())", "((0 3", "((0 18446744073709551616 4) () ())"])
+def test_lines_before_a_malformed_record_are_written(spark, tmp_path, bad):
+    path = tmp_path / "bad.txt"
+    path.write_text(f"{RECORDS}\n{bad}\n((0 5 6 0) () ())\n")
+    want = "(0 . 1) \n(1 . 1) \n(1 . 1) (0 . 1) \n(1 . 1) (0 . 1) \n"
+    if bad != "((0 3":
+        with pytest.raises(cli.RunError, match="bad.txt: .* at byte offset"):
+            run(spark, tmp_path, str(path))
+        assert (tmp_path / "out").read_text() == want
+        # Beyond the limit it is never read.
+        assert run(spark, tmp_path, str(path), "4") == want
+    else:
+        with pytest.raises(Exception, match="at byte offset"):
+            run(spark, tmp_path, str(path))
+
+
+def test_numbers_beyond_a_long(spark, tmp_path):
+    top = 2**64 - 2
+    path = tmp_path / "wide.txt"
+    path.write_text(f"((0 {top} {top} 0) () ((0 0 0)))\n((0 1 2 0) () ((0 0 0)))\n((0 {top} 3 0) ((0 {top} {top} 0) (0 5 2 1)) ())\n")
+    assert run(spark, tmp_path, str(path)) == f"({top} . 1) \n(1 . 1) \n({top} . 1) (1 . 1) \n"
+    with pytest.raises(Exception, match=f"block {top} does not fit"):
+        run(spark, tmp_path, str(path), "--sets")
+
+
+def test_records_that_share_and_span_lines(spark, tmp_path, records):
+    path = tmp_path / "free.txt"
+    path.write_text(RECORDS.replace("\n", " ").replace(" () ", "\n() ", 1))
+    assert run(spark, tmp_path, str(path)) == run(spark, tmp_path, records)
+
+
+def test_records_from_standard_input(spark, tmp_path, records, monkeypatch):
+    import io
+    import types
+
+    monkeypatch.setattr(cli.sys, "stdin", types.SimpleNamespace(buffer=io.BytesIO(RECORDS.encode())))
+    cli.run_color(spark, ["-o", str(tmp_path / "own")])
+    assert (tmp_path / "own").read_text() == run(spark, tmp_path, records)
 
 
 @pytest.mark.parametrize(
     "args",
-    [["x"], ["1", "2"], ["--bin", "2"], ["--pbm", "a", "--svg", "b"], ["--pbm", "a", "--bin", "0"], ["--pbm", "a", "--blocks", "0"], ["--pbm", "a", "--bin", "x"], ["--pbm", "--stats"], ["--rings", "--weighted"], ["--other"]],
+    [["x"], ["1", "2"], ["--bin", "2"], ["--pbm", "a", "--bin", "0"], ["--pbm", "a", "--blocks", "0"], ["--pbm", "a", "--bin", "x"], ["--pbm", "--stats"], ["--rings", "--weighted"], ["--other"]],
 )
 def test_command_lines_that_make_no_sense(spark, records, args):
     with pytest.raises(cli.UsageError):
@@ -57,7 +105,7 @@ def test_command_lines_that_make_no_sense(spark, records, args):
 
 
 def test_the_last_backend_counts():
-    assert [cli.mode_of(x) for x in ([], ["--weighted", "--rings"], ["--rings", "--sets"], ["--weighted"])] == ["sets", "rings", "sets", "weighted"]
+    assert [cli.mode_of(x) for x in ([], ["--weighted", "--rings"], ["--rings", "--sets"], ["--weighted"])] == ["rings", "rings", "sets", "weighted"]
 
 
 def test_trees(spark, tmp_path):
@@ -73,3 +121,17 @@ def test_trees(spark, tmp_path):
     for bad in (["--scale", "0"], ["--scale", "x"]):
         with pytest.raises(cli.UsageError):
             cli.run_tree_svg(spark, [str(arcs), *bad])
+
+
+def test_pixels_that_nodes_share_are_told(spark, tmp_path, capsys):
+    arcs = tmp_path / "fan.arcs"
+    arcs.write_text("".join(f"0 {k}\n" for k in range(1, 40)))
+    cli.run_tree_bitmap(spark, [str(arcs), "-o", str(tmp_path / "t.pbm")])
+    said = capsys.readouterr().err.splitlines()
+    assert any(x == "2 by 39 pixels, 39 B to write" for x in said)
+    assert not any("share a pixel" in x for x in said)
+
+
+@pytest.mark.parametrize(("n", "want"), [(0, "0 B"), (999, "999 B"), (1000, "1.0 kB"), (1_500_000, "1.5 MB"), (2 * 10**15, "2000.0 TB")])
+def test_sizes_as_text(n, want):
+    assert cli.size_text(n) == want

@@ -1,10 +1,12 @@
 """The programs: coloring a stream of records, and drawing a graph's forest.
 
     python -m tintmill color [<limit>|all] [--stats] [--rings|--sets|--weighted]
-                             [--pbm <file>|--svg <file> [--blocks <n>] [--bin <n>]] --records <path> [-o <file>]
+                             [--pbm <file>|--svg <file> [--blocks <n>] [--bin <n>]] [--records <path>] [-o <file>]
     python -m tintmill tree-svg <graph> [--nodes <n>] [-o <file>] [--scale <px>]
     python -m tintmill tree-bitmap <graph> [--nodes <n>] [-o <file>] [--format pbm|pgm] [--zoom <n>]
 
+Records come from standard input where no path is given. Of several pictures the last one is drawn.
+A record that can't be read, or spends what isn't there, ends the run after the lines of those before.
 A graph is a table of arcs (.parquet, .csv, .txt or .arcs), or the basename of a compressed web-graph.
 Rows are ordered by the cluster and streamed through the driver partition by partition, so a picture
 needs no more memory there than a partition of it.
@@ -13,6 +15,8 @@ needs no more memory there than a partition of it.
 from __future__ import annotations
 
 import sys
+import time
+import uuid
 from collections.abc import Iterable, Sequence
 from typing import BinaryIO
 
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import color, forest, layout, picture, utxo
-from .plans.lineage import written
+from .plans.lineage import shared_folder, written
 from .sources import graphs, webgraph
 from .sources import records as text
 
@@ -31,6 +35,10 @@ class UsageError(ValueError):
     """A command line that asks for nothing this can do."""
 
 
+class RunError(ValueError):
+    """Records that can't be followed to the end."""
+
+
 def options(args: Sequence[str], valued: Iterable[str], flags: Iterable[str]) -> tuple[list[str], dict[str, str], list[str]]:
     """Plain arguments, values of ``--name v`` or ``--name=v``, and flags in the order given. A separate value may not start with ``--``."""
     valued, flags = set(valued), set(flags)
@@ -66,14 +74,71 @@ def count(name: str, value: str | None, what: str) -> int | None:
 
 
 def mode_of(flags: Sequence[str]) -> str:
-    """The backend: sets unless another is named; rings after all, but weights can't be asked of rings."""
-    mode = "sets"
+    """The backend: rings unless another is named; the last one counts, but weights can't be asked of rings that were named."""
+    mode = ""
     for flag in flags:
         if flag == "--weighted" and mode == "rings":
-            raise UsageError("--rings holds no weights: leave out one of --rings and --weighted")
+            raise UsageError("rings that are asked for can't hold weights: leave out --rings or --weighted")
         if flag in ("--rings", "--sets", "--weighted"):
             mode = flag[2:]
-    return mode
+    return mode or "rings"
+
+
+# Lines about a run that its readers may match.
+def surveyed_line(path: str, records: int, blocks: int, bin_: int) -> str:
+    return f"{records} records over {blocks} blocks, so a {blocks} x {picture.height(records, bin_)} picture" if records else f"no records, so {path} is empty"
+
+
+def total_line(seconds: float, records: int) -> str:
+    return f"{seconds:>10.2f}s {records:>10} records {pace(records, seconds):>11}  total"
+
+
+def picture_lines(columns: int, rows: int, runs: int, a_row: int, pbm: int, svg: int) -> list[str]:
+    return [f"picture: {columns} columns x {rows} rows", f"picture: {runs} runs, {a_row} a row: {pbm} bytes a row as --pbm, {svg} as --svg"]
+
+
+def pixels_line(width: int, rows: int, size: str) -> str:
+    return f"{width} by {rows} pixels, {size} to write"
+
+
+def shared_line(n: int) -> str:
+    return f"{n} node(s) share a pixel with another and are not drawn separately; --zoom does not help, the grid is what it is"
+
+
+def pace(records: int, seconds: float) -> str:
+    """Records a second, in a few characters."""
+    if seconds <= 0:
+        return "-- rec/s"
+    each = records / seconds
+    return f"{each / 1e6:.1f}M rec/s" if each >= 1e6 else f"{each / 1e3:.0f}k rec/s" if each >= 1e3 else f"{each:.0f} rec/s"
+
+
+def size_text(n: int) -> str:
+    """A number of bytes in decimal units."""
+    if n < 1000:
+        return f"{n} B"
+    value, unit = n / 1000, "kB"
+    for next_ in ("MB", "GB", "TB"):
+        if value < 1000:
+            break
+        value, unit = value / 1000, next_
+    return f"{value:.1f} {unit}"
+
+
+def _say(line: str) -> None:
+    print(line, file=sys.stderr)
+
+
+def _stdin(spark: SparkSession) -> str:
+    """Standard input as a file in the shared folder, so that it can be read twice and by all executors."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.records"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    while data := sys.stdin.buffer.read(1 << 20):
+        out.write(bytearray(data))
+    out.close()
+    return path
 
 
 def _rows(df: DataFrame, order: str, column: str) -> Iterable:
@@ -91,33 +156,44 @@ def run_color(spark: SparkSession, args: Sequence[str]) -> None:
         raise UsageError(f"a record limit is a count or all, not {' '.join(plain)}")
     limit = LIMIT if not plain else None if plain[0] == "all" else int(plain[0])
     mode = mode_of(flags)
-    drawn = [k for k in ("--pbm", "--svg") if k in values]
-    if len(drawn) == 2:
-        raise UsageError("one picture at a time: --pbm or --svg")
+    drawn = [k for k in values if k in ("--pbm", "--svg")][-1:]
     for name in ("--blocks", "--bin"):
         if name in values and not drawn:
-            raise UsageError(f"{name} describes the picture, so it needs --pbm <file> or --svg <file>")
-    bin_ = count("--bin", values.get("--bin"), "asks a row to stand for no transactions") or 1
-    blocks = count("--blocks", values.get("--blocks"), "leaves the picture no columns to draw in")
-    if "--records" not in values:
-        raise UsageError("--records <path> names the records")
-
-    parsed = written(utxo.limited(text.read_lines(spark, values["--records"]), limit))
+            raise UsageError(f"{name} is about a picture: name one with --pbm or --svg")
+    bin_ = count("--bin", values.get("--bin"), "puts no record in a row") or 1
+    blocks = count("--blocks", values.get("--blocks"), "makes a picture without columns")
+
+    began = time.monotonic()
+    read, failure = text.read_until(spark, values.get("--records") or _stdin(spark), wide=True)
+    parsed = utxo.limited(read, limit)
+    if limit is not None and failure:
+        # A malformed record beyond the limit is never read.
+        failure = None if parsed.count() == limit else failure
+    parsed = written(text.fitted(parsed))
     inputs = text.edges(parsed)
-    spends = written(utxo.checked(parsed, inputs))
+    first = utxo.first_unknown(parsed, inputs).first()
+    if first:
+        failure, parsed = first["message"], parsed.filter(F.col("seq") < first["seq"])
+        inputs = text.edges(parsed)
+    spends = written(utxo.spends(parsed, inputs))
     find = color.weighted if mode == "weighted" else lambda r, i, s: color.closure(r, i, s, mode)
     colors = written(find(parsed, inputs, spends))
     surveyed, n = picture.survey(parsed).first()
+    surveyed = int(surveyed)
     if not drawn:
         out = _open(values.get("-o") or values.get("--out"))
         for line in _rows(picture.text_lines(colors), "seq", "line"):
             out.write(line.encode() + b"\n")
         out.flush()
-    else:
+    if failure:
+        raise RunError(failure)
+    if drawn:
         width, rows = blocks or surveyed, picture.height(n, bin_)
-        first = picture.escaped(colors, width).first()
-        if first:
-            raise ValueError(first["message"])
+        if not blocks:
+            _say(surveyed_line(values[drawn[0]], n, surveyed, bin_))
+        escaped = picture.escaped(colors, width).first()
+        if escaped:
+            raise RunError(escaped["message"])
         pixels = written(picture.pixels(colors, bin_))
         with open(values[drawn[0]], "wb") as out:
             if drawn[0] == "--pbm":
@@ -130,16 +206,17 @@ def run_color(spark: SparkSession, args: Sequence[str]) -> None:
                 for row in strokes.toLocalIterator():
                     out.write(row[0].encode())
                 out.write(picture.SVG_TAIL.encode())
-        if "--stats" in flags:
-            said = picture.stats(picture.runs(pixels), width, rows).first()
-            print(f"picture: {width} columns x {rows} rows", file=sys.stderr)
-            print(f"picture: {said['runs']} runs, {said['runs_a_row']} a row: {said['pbm_row_bytes']} bytes a row as --pbm, {said['svg_row_bytes']} as --svg", file=sys.stderr)
     if "--stats" in flags:
+        _say(total_line(time.monotonic() - began, n))
         live = utxo.live(parsed, inputs).join(colors.groupBy("seq").count(), F.col("version_seq") == F.col("seq"))
         txs, terms = live.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-        print(f"{n} records over {surveyed} blocks; {txs} colored txs live, {terms} terms", file=sys.stderr)
+        _say(f"{n} records over {surveyed} blocks; {txs} colored txs live, {terms} terms")
         if mode == "weighted":
-            print(f"largest distance of a color's mass from one: {color.drift(colors).first()[0]:.3g}", file=sys.stderr)
+            _say(f"largest distance of a color's mass from one: {color.drift(colors).first()[0]:.3g}")
+        if drawn:
+            said = picture.stats(picture.runs(pixels), width, rows).first()
+            for line in picture_lines(width, rows, said["runs"], said["runs_a_row"], said["pbm_row_bytes"], said["svg_row_bytes"]):
+                _say(line)
 
 
 def _drawing(spark: SparkSession, plain: Sequence[str], nodes: int | None) -> DataFrame:
@@ -190,6 +267,10 @@ def run_tree_bitmap(spark: SparkSession, args: Sequence[str]) -> None:
     own = _drawing(spark, plain, count("--nodes", values.get("--nodes"), "leaves nothing to draw"))
     _, _, width, rows = layout.frame(own)
     width, rows = width * zoom, rows * zoom
+    _say(pixels_line(width, rows, size_text((-(-width // 8) if kind == "pbm" else width) * rows)))
+    shared = layout.collisions(own).first()["collisions"]
+    if shared:
+        _say(shared_line(shared))
     dots = layout.zoomed(layout.dots(own), zoom)
     header, packed = (layout.pbm_header, layout.pbm_rows) if kind == "pbm" else (layout.pgm_header, layout.pgm_rows)
     out = _open(values.get("-o") or values.get("--out"))
@@ -214,6 +295,9 @@ def main(argv: Sequence[str]) -> int:
     except UsageError as error:
         print(f"tintmill: {error}", file=sys.stderr)
         return 2
+    except RunError as error:
+        print(f"tintmill: {error}", file=sys.stderr)
+        return 1
     finally:
         spark.stop()
     return 0

@@ -159,7 +159,7 @@ def _double(base: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _checked_blocks(records: DataFrame) -> DataFrame:
     """Sets and weights hold 32-bit blocks: a larger one is an error."""
-    wide = F.raise_error(F.format_string("block %d does not fit in 32 bits", "block_id")).cast("long")
+    wide = F.raise_error(F.concat(F.lit("block "), F.col("block_id").cast("string"), F.lit(" does not fit in 32 bits"))).cast("long")
     return records.withColumn("block_id", F.when(F.col("block_id") > U32, wide).otherwise(F.col("block_id")))
 
 

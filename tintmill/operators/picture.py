@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows whose strokes are put in order together; one stroke a bucket crosses to the next.
@@ -22,18 +22,21 @@ def survey(records: DataFrame) -> DataFrame:
 def escaped(colors: DataFrame, width: int) -> DataFrame:
     """(seq, block, message) of the first record with a block that has no column: its largest one. No row if all fit."""
     out = colors.filter(F.col("block") >= width).groupBy("seq").agg(F.max("block").alias("block")).orderBy("seq").limit(1)
-    said = F.format_string("block %d has no column in a %d-column picture; rerun with --blocks %d or more", "block", F.lit(width), F.col("block") + 1)
-    return out.withColumn("message", said)
+    return out.withColumn("message", no_column(width))
+
+
+def no_column(width: int) -> Column:
+    """What is said of a ``block`` past the last column."""
+    return F.concat(F.lit("block "), F.col("block").cast("string"), F.lit(f" has no column in a {width}-column picture; rerun with --blocks "), (F.col("block") + 1).cast("string"), F.lit(" or more"))
 
 
 def pixels(colors: DataFrame, bin: int = 1, width: int | None = None) -> DataFrame:
     """(row, block), distinct: ``bin`` consecutive records share a row. A block past ``width`` is an error."""
-    _positive("bin", bin, "asks a row to stand for no transactions")
-    _positive("blocks", width, "leaves the picture no columns to draw in")
+    _positive("bin", bin, "puts no record in a row")
+    _positive("blocks", width, "makes a picture without columns")
     block = F.col("block")
     if width is not None:
-        said = F.raise_error(F.format_string("block %d has no column in a %d-column picture", "block", F.lit(width))).cast("long")
-        block = F.when(F.col("block") >= width, said).otherwise(F.col("block")).alias("block")
+        block = F.when(F.col("block") >= width, F.raise_error(no_column(width)).cast("long")).otherwise(F.col("block")).alias("block")
     return colors.select(F.expr(f"seq div {bin}").alias("row"), block).distinct()
 
 

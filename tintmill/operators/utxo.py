@@ -7,7 +7,7 @@ the last input to the first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,11 @@ def spends(records: DataFrame, inputs: DataFrame) -> DataFrame:
     return found.join(counts, same, "left").select(*(F.col(f"_input.{c}").alias(c) for c in inputs.columns), "version_seq", "outputs", rank.alias("spend_rank"))
 
 
+def unknown_message() -> Column:
+    """What is said of an input (tx_id, prev_tx_id) that finds nothing to spend."""
+    return F.concat(F.lit("transaction "), F.col("tx_id").cast("string"), F.lit(" spends unknown transaction "), F.col("prev_tx_id").cast("string"))
+
+
 def unknown(records: DataFrame, inputs: DataFrame) -> DataFrame:
     """Spends of an unknown transaction: (seq, pos, tx_id, prev_tx_id), with no version or none of its outputs left."""
     return spends(records, inputs).filter("version_seq is null or spend_rank > outputs").select("seq", "pos", "tx_id", "prev_tx_id")
@@ -64,14 +69,14 @@ def unknown(records: DataFrame, inputs: DataFrame) -> DataFrame:
 def first_unknown(records: DataFrame, inputs: DataFrame) -> DataFrame:
     """The failure that stops a strict run, at most one row with its ``message``: the earliest record's last such input."""
     first = unknown(records, inputs).orderBy("seq", F.col("pos").desc()).limit(1)
-    return first.withColumn("message", F.format_string("transaction %d spends unknown transaction %d", "tx_id", "prev_tx_id"))
+    return first.withColumn("message", unknown_message())
 
 
 def checked(records: DataFrame, inputs: DataFrame) -> DataFrame:
     """``spends`` that raises an error at an unknown transaction, wherever its rows are read."""
     found = spends(records, inputs)
     bad = F.col("version_seq").isNull() | (F.col("spend_rank") > F.col("outputs"))
-    fail = F.raise_error(F.format_string("transaction %d spends unknown transaction %d", "tx_id", "prev_tx_id")).cast("long")
+    fail = F.raise_error(unknown_message()).cast("long")
     return found.withColumn("version_seq", F.when(bad, fail).otherwise(F.col("version_seq")))
 
 

@@ -247,6 +247,39 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _numbered(found.withColumn("_in", inside), found.groupBy("_file", "_split").agg(F.count("*").alias("_n")), F.col("_in")).drop("_in", "_k", *_PLACE)
 
 
+def read_until(spark: SparkSession, path: str | list[str], wide: bool = False) -> tuple[DataFrame, str | None]:
+    """Records up to the first malformed one, with their arrival order, and what is wrong with that one (None: all are records).
+
+    Files of one record a line are read in splits; files with records over several lines, or several
+    in one, as free text, in which a malformed record is an error where its rows are read.
+    """
+    own = lines_of(spark, path).filter(F.length(F.trim("value")) > 0)
+    if not own.filter(rejected(F.col("value")).isNotNull()).isEmpty():
+        opened = F.length(F.regexp_replace("value", r"[^(]++", "")) - F.length(F.regexp_replace("value", r"[^)]++", ""))
+        if not own.filter((opened != 0) | F.col("value").rlike(r"\)\s*+\)\s*+\(\s*+\([^()]*+\)\s*+\([^()]")).isEmpty():
+            free = read_files(spark, path)
+            return (free if wide else _narrowed(free)), None
+    numbered = arrival(own)
+    bad = numbered.select("seq", rejected(F.col("value")).alias("reason")).filter("reason is not null").agg(F.min("seq")).first()[0]
+    if bad is None:
+        return parse_lines(numbered, wide=wide), None
+    file, what = first_rejected(spark, path)
+    return parse_lines(numbered.filter(F.col("seq") < bad), wide=wide), f"{file}: {what}"
+
+
+def _narrowed(df: DataFrame) -> DataFrame:
+    """Decimals as longs."""
+    one = lambda x: F.struct(x["pos"].alias("pos"), x["prev_tx_id"].cast("long").alias("prev_tx_id"), x["amount"].cast("long").alias("amount"))
+    return df.withColumn("block_id", F.col("block_id").cast("long")).withColumn("tx_id", F.col("tx_id").cast("long")).withColumn("inputs", F.transform("inputs", one))
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """Records of decimals as longs, if longs hold them all; as they are otherwise."""
+    widest = F.greatest(F.max("block_id"), F.max("tx_id"), F.max(F.array_max(F.transform("inputs", lambda x: F.greatest(x["prev_tx_id"], x["amount"])))))
+    most = df.agg(widest).first()[0]
+    return _narrowed(df) if most is None or most < 1 << 63 else df
+
+
 def read_lines(spark: SparkSession, path: str | list[str], strict: bool = True, wide: bool = False) -> DataFrame:
     """Records of text files with one record a line, with their arrival order: files by name, then lines."""
     return arrival(parse_lines(lines_of(spark, path), strict=strict, wide=wide))
