@@ -38,7 +38,8 @@ VERIFY_EACH = 16
 SURE = 0.95
 #: Factor that norms of a band lie within, unless all of it is verified anyway.
 BAND = 1.1
-BLOCK, QUERIES = 32_768, 512
+#: Vectors of a block, and queries that meet a block together at most: as many, so that neither side's copies outweigh the other's.
+BLOCK, QUERIES = 32_768, 32_768
 
 
 def span(sure: float, need: int) -> float:
@@ -202,6 +203,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     own = cut(own.filter(F.size("_v") == sizes["size"]).groupBy("_id").agg(F.min("_v").alias("_v"), F.max("_query").alias("_query")))
     n, asked = own.agg(F.count("*"), F.count_if("_query")).first()
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
+    # An index is built once for each part of the queries. There are more parts only where the cluster would idle otherwise.
+    parts = max(parts, min(-(-asked // 512), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
     # A block of the index meets every part of the query set, and so does a query every block.
     block, part = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(parts))
     index = own.select("_id", "_v", F.lit(False).alias("_query"), block.alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
