@@ -139,6 +139,34 @@ def test_a_stream_runs_from_files(spark, tmp_path):
     assert sorted((x.seq, x.block) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0), (1, 0)]
 
 
+def test_a_stream_keeps_changes_of_the_ids_it_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(coloring, "BASE_ROWS", 6)
+    records, inputs = stream(random.Random(11), 40, 16, True)
+    sets, weights, live, _ = simulate(records, inputs)
+    by = {}
+    for s, _, p, prev, a in inputs:
+        by.setdefault(s, []).append((p, prev, a))
+    kind = "seq long, block_id long, tx_id long, outputs long, inputs array<struct<pos:int,prev_tx_id:long,amount:long>>"
+    changes = coloring.Changes(spark, str(tmp_path / "live"))
+    got, rows = {}, [(*x, by.get(x[0], [])) for x in records]
+    for n in range(5):
+        batch = spark.createDataFrame(rows[8 * n : 8 * n + 8], kind)
+        # Twice, as after a failure: the second time changes nothing.
+        for _ in range(2):
+            ids = coloring.named(batch)
+            colors, next_ = coloring.step(changes.live(n, ids), batch, weighted=True)
+            found = colors.collect()
+            changes.add(n, ids, next_)
+        for x in found:
+            got.setdefault(x.seq, {})[x.block] = x.w
+        named = {r[2] for r in rows[8 * n : 8 * n + 8]} | {i[1] for r in rows[8 * n : 8 * n + 8] for i in r[4]}
+        assert spark.read.parquet(str(tmp_path / "live" / f"change={n}")).count() == len(named)
+    assert {s: set(w) for s, w in got.items()} == sets
+    assert all(abs(got[s][b] - v) < 1e-12 for s, w in weights.items() for b, v in w.items())
+    assert {x.tx_id: x.unspent for x in changes.live(5).collect()} == {t: v[2] for t, v in live.items()}
+    assert changes.numbers("base") and changes.numbers("change") != list(range(5))
+
+
 def test_polynomials(spark):
     p = F.map_from_arrays(F.array(F.lit(4), F.lit(1)), F.array(F.lit(2), F.lit(5)))
     q = F.map_from_arrays(F.array(F.lit(4), F.lit(9)), F.array(F.lit(-2), F.lit(3)))
