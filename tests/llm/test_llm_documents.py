@@ -523,6 +523,48 @@ def test_quality_is_learnt(spark):
     assert all(abs(again[k] - s) < 1e-9 for k, s in scored.items())
 
 
+def test_summed_equations_give_the_ridge_solution(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, len(quality.NAMES)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    fold = np.arange(300) % quality.FOLDS
+    rows = [(k, a.tolist(), float(b), int(c)) for k, (a, b, c) in enumerate(zip(x, y, fold))]
+    train = spark.createDataFrame(rows, "_id long, _x array<double>, _y double, _fold int").repartition(5)
+    model = quality.fit(train)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.dev, x.std(0))
+    z = model.lift(x)
+    penalty = quality.RIDGE * np.sqrt(len(x)) / 10 * np.eye(z.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-8)
+    raw = np.zeros(len(x))
+    for k in range(quality.FOLDS):
+        own = z[fold != k]
+        raw[fold == k] = z[fold == k] @ np.linalg.solve(own.T @ own + penalty, own.T @ y[fold != k])
+    assert np.allclose(model.steps[1], quality.isotonic(raw, y)[1])
+    # Cosines of random projections stand for a Gaussian kernel of the standardised statistics.
+    wide = quality.Model(model.mean, model.dev, features=20_000)
+    some = x[:20]
+    cosines = wide.lift(some)[:, :20_000]
+    apart = (((some[:, None] - some[None]) / model.dev) ** 2).sum(-1)
+    assert np.abs(cosines @ cosines.T - np.exp(-apart / (4 * x.shape[1]))).max() < 0.05
+
+
+def test_isotonic_fit_by_hand():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40):
+        x, y = rng.permutation(n).astype(float), rng.integers(0, 2, n).astype(float)
+        knots, values = quality.isotonic(x, y)
+        own = y[np.argsort(x)]
+        best = [max(min(own[j : k + 1].mean() for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        # Pools of equal value, smoothed towards the base rate by one row.
+        pools = []
+        for v in best:
+            if pools and abs(pools[-1][0] - v) < 1e-12:
+                pools[-1][1] += 1
+            else:
+                pools.append([v, 1])
+        assert np.allclose(values, [(v * k + y.mean()) / (k + 1) for v, k in pools])
+
+
 def test_isotonic_fit_never_falls():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
