@@ -54,6 +54,14 @@ def written_text(lines: DataFrame, order: str = "seq") -> str:
     return path
 
 
+def present(df: DataFrame) -> bool:
+    """Whether the files of a ``written`` table still stand."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(x) for x in df.inputFiles()[:1]]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a ``written`` table that nothing reads any more."""
     for path in {x.rpartition("/")[0] for x in df.inputFiles()}:

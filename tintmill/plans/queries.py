@@ -18,12 +18,11 @@ BIN, LIMIT, NARROW = 100, 1000, 100
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fixtures.records(spark, sf_dir), fixtures.inputs(spark, sf_dir)
+    return fixtures.stream(spark, sf_dir)
 
 
 def _spent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records, inputs = _stream(spark, sf_dir)
-    inputs = cut(inputs)
     return records, inputs, utxo.spends(records, inputs)
 
 
@@ -146,11 +145,11 @@ def weighted_text(spark, sf_dir):
 
 
 def record_limit(spark, sf_dir):
-    return utxo.limited(fixtures.records(spark, sf_dir), LIMIT).select("seq", "tx_id", "block_id")
+    return utxo.limited(_stream(spark, sf_dir)[0], LIMIT).select("seq", "tx_id", "block_id")
 
 
 def survey(spark, sf_dir):
-    return picture.survey(utxo.limited(fixtures.records(spark, sf_dir)))
+    return picture.survey(utxo.limited(_stream(spark, sf_dir)[0]))
 
 
 def escaped_block(spark, sf_dir):
@@ -165,7 +164,7 @@ def stats_live(spark, sf_dir):
 
 
 def _picture(spark, sf_dir) -> tuple[DataFrame, int, int]:
-    blocks, n = picture.survey(fixtures.records(spark, sf_dir)).first()
+    blocks, n = picture.survey(_stream(spark, sf_dir)[0]).first()
     return cut(picture.pixels(_colors(spark, sf_dir), BIN, blocks)), blocks, picture.height(n, BIN)
 
 
@@ -186,7 +185,7 @@ def svg_strokes(spark, sf_dir):
 
 
 def svg_header(spark, sf_dir):
-    blocks, n = picture.survey(fixtures.records(spark, sf_dir)).first()
+    blocks, n = picture.survey(_stream(spark, sf_dir)[0]).first()
     return spark.createDataFrame([(picture.svg_header(blocks, picture.height(n, BIN)),)], "header string")
 
 
