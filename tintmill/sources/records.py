@@ -55,18 +55,25 @@ def _json(line: Column) -> Column:
     return F.translate(out, "() ", "[],")
 
 
-def _parts(line: Column) -> tuple[Column, Column, Column]:
-    """Header fields, lists of input fields and the number of outputs of a line that is a record, digits as text."""
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often it is referred to."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _taken(line: Column) -> Column:
+    """A struct of header fields ``h``, lists of input fields ``i`` and the number of outputs ``o``, digits as text; of nulls if the line is no record."""
     read = lambda x, kind: F.from_json(x, kind, {"allowNumericLeadingZeros": "true"})
-    parts = read(_json(line), "array<string>")
-    return read(F.get(parts, F.lit(0)), "array<string>"), read(F.get(parts, F.lit(1)), "array<array<string>>"), F.size(read(F.get(parts, F.lit(2)), "array<string>"))
+    lists = lambda x: F.length(x) - F.length(F.translate(x, "[", "")) - 1
+    part = lambda p, k: F.get(p, F.lit(k))
+    found = read(F.when(line.rlike(_RECORD), _json(line)), "array<string>")
+    return _once(found, lambda p: F.struct(read(part(p, 0), "array<string>").alias("h"), read(part(p, 1), "array<array<string>>").alias("i"), lists(part(p, 2)).alias("o")))
 
 
 def _too_wide(field: Column, most: int) -> Column:
     """Whether a run of digits is a number beyond ``most``."""
-    short = F.regexp_replace(field, r"^0++(?=\d)", "")
     size = len(str(most))
-    return (F.length(short) > size) | ((F.length(short) == size) & (short > F.lit(str(most))))
+    short = F.regexp_replace(field, r"^0++(?=\d)", "")
+    return (F.length(field) >= size) & ((F.length(short) > size) | ((F.length(short) == size) & (short > F.lit(str(most)))))
 
 
 def parse_lines(lines: DataFrame, column: str = "value", strict: bool = True, wide: bool = False) -> DataFrame:
@@ -78,40 +85,44 @@ def parse_lines(lines: DataFrame, column: str = "value", strict: bool = True, wi
     number that a long doesn't hold, unless ``wide``.
     """
     line, rest = F.col(column), [c for c in lines.columns if c != column]
-    own = lines.filter(F.length(F.trim(line)) > 0)
-    reason = rejected(line)
+    own = lines.filter(F.length(F.trim(line)) > 0).withColumn("_x", _taken(line))
+    reason = _reason(line, F.col("_x"))
     if strict:
         where = F.concat(F.lit(" in "), F.col("_file")) if "_file" in rest else F.lit("")
         said = F.raise_error(F.concat(reason, where, F.lit(": "), F.substring(line, 1, 200)))
-        own = own.withColumn(column, F.when(reason.isNull(), line).otherwise(said))
+        own = own.withColumn("_x", F.when(reason.isNull(), F.col("_x")).otherwise(said))
     else:
         own = own.filter(reason.isNull())
     kind, most = ("decimal(20,0)", WIDEST) if wide else ("long", (1 << 63) - 1)
 
     def number(field: Column) -> Column:
         said = F.raise_error(F.concat(F.lit("wider than a long, read it as a decimal: "), field)).cast(kind)
-        value = F.regexp_replace(field, r"^0++(?=\d)", "").cast(kind)
+        value = F.when(F.length(field) > 20, F.regexp_replace(field, r"^0++(?=\d)", "")).otherwise(field).cast(kind)
         return value if wide else F.when(_too_wide(field, most), said).otherwise(value)
 
-    header, paid, made = _parts(line)
-    own = own.select(*rest, header.alias("_h"), paid.alias("_i"), made.alias("_o"))
-    one = lambda x, i: F.struct(i.alias("pos"), number(F.get(x, F.lit(2))).alias("prev_tx_id"), number(F.get(x, F.lit(1))).alias("amount"))
-    return own.select(*rest, number(F.get("_h", F.lit(1))).alias("block_id"), number(F.get("_h", F.lit(2))).alias("tx_id"), F.col("_o").cast("long").alias("outputs"), F.transform("_i", one).alias("inputs"))
+    field = lambda x, k: number(F.get(x, F.lit(k)))
+    one = lambda x, i: F.struct(i.alias("pos"), field(x, 2).alias("prev_tx_id"), field(x, 1).alias("amount"))
+    return own.select(*rest, field("_x.h", 1).alias("block_id"), field("_x.h", 2).alias("tx_id"), F.col("_x.o").cast("long").alias("outputs"), F.transform("_x.i", one).alias("inputs"))
 
 
 def rejected(line: Column) -> Column:
     """Why a line is no record; null for a good or blank one. Every wanted field is looked at."""
-    header, paid, _ = _parts(F.when(line.rlike(_RECORD), line))
+    return _once(_taken(line), lambda x: _reason(line, x))
+
+
+def _reason(line: Column, x: Column) -> Column:
     at = lambda x, k: F.get(x, F.lit(k))
     beyond = lambda x: F.coalesce(_too_wide(at(x, 1), WIDEST) | _too_wide(at(x, 2), WIDEST), F.lit(False))
+    few = F.size(x["h"])
     return (
         F.when(F.length(F.trim(line)) == 0, None)
+        .when(x["h"].isNotNull() & (few >= 3) & ~F.exists(x["i"], lambda y: (F.size(y) < 3) | beyond(y)) & ~beyond(x["h"]), None)
         .when(line.rlike(r"-\d"), "negative integer")
         .when(line.rlike(r"[^\s()0-9]"), "expected an integer")
-        .when(~line.rlike(_RECORD), "malformed record")
-        .when(F.size(header) < 3, F.concat(F.lit("record header has "), F.size(header).cast("string"), F.lit(" fields")))
-        .when(F.exists(paid, lambda x: F.size(x) < 3), "input has too few fields")
-        .when(beyond(header) | F.exists(paid, beyond), "does not fit in a usize")
+        .when(x["h"].isNull(), "malformed record")
+        .when(few < 3, F.concat(F.lit("record header has "), few.cast("string"), F.lit(" fields")))
+        .when(F.exists(x["i"], lambda y: F.size(y) < 3), "input has too few fields")
+        .otherwise("does not fit in a usize")
     )
 
 
