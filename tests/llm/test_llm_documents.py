@@ -202,6 +202,13 @@ def test_near_duplicates(docs, size):
     assert got == brute_components(corpus(), size)
 
 
+def test_near_duplicates_with_hot_classes_and_small_squares(docs, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 2)
+    monkeypatch.setattr(neardup, "SIDE", 3)
+    monkeypatch.setattr(neardup, "STAR_PAIRS", 2)
+    test_near_duplicates(docs, 2)
+
+
 def test_near_duplicates_in_a_chain_of_buckets(spark):
     """Documents that drift a word at a time: links between neighbours only, so stars alone don't find them."""
     base = [f"w{k}" for k in range(40)]

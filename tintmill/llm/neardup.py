@@ -29,7 +29,9 @@ PERMUTATIONS, BAND = 80, 5
 #: Signature agreement this far under the similarity rules a pair out in a square: eight deviations below a similarity of 0.8.
 SLACK = 0.25
 #: Side of the squares in which a bucket's pairs are compared, and pairs of a star that one task confirms, about.
-SIDE, STAR_PAIRS = 2048, 256
+SIDE, STAR_PAIRS = 1024, 256
+#: A class of equal texts is hot with this many rows at least, and with this share of all rows, so there are at most 100,000 hot ones.
+HOT_ROWS, HOT_SHARE = 1000, 1e-5
 
 _RNG = np.random.default_rng(2014)
 _XOR = _RNG.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     signed = cut(docs.mapInArrow(_sign(size), _SIGNED))
     named = signed.filter("_id is not null and _n > 0")
-    reps = named.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"))
+    reps = named.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.count("*").alias("_rows"))
     placed = reps.select("_rep", F.explode("_bands").alias("_bucket"))
     stars = placed.groupBy("_bucket").agg(F.min("_rep").alias("_star"), F.max("_rep").alias("_end"), F.count("*").alias("_size")).filter("_star < _end")
     members = cut(placed.join(stars, "_bucket"))
@@ -247,7 +249,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not pairs.isEmpty():
             edges = edges.unionByName(_links(pairs, docs, size, percent))
     comps = components(edges)
-    keyed = reps.select("_k1", "_k2", "_rep").join(comps.withColumnRenamed("node", "_rep"), "_rep", "left").select("_k1", "_k2", F.coalesce("comp", "_rep").alias("_comp"))
-    found = signed.filter("_n > 0").join(keyed, ["_k1", "_k2"], "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("_comp"))
+    keyed = reps.select("_k1", "_k2", "_rep", "_rows").join(comps.withColumnRenamed("node", "_rep"), "_rep", "left").select("_k1", "_k2", F.coalesce("comp", "_rep").alias("_comp"), "_rows")
+    # Rows of hot classes meet their component where they are; the others are exchanged by class.
+    many = F.col("_rows") >= max(HOT_ROWS, int(HOT_SHARE * signed.count()))
+    hot = keyed.filter(many).select("_k1", "_k2", F.col("_comp").alias("_hot"))
+    near = signed.filter("_n > 0").select("_id", "_n", "_k1", "_k2").join(F.broadcast(hot), ["_k1", "_k2"], "left")
+    cold = near.filter("_hot is null").drop("_hot").join(keyed.filter(~many).drop("_rows"), ["_k1", "_k2"], "left")
+    found = near.filter("_hot is not null").withColumnRenamed("_hot", "_comp").unionByName(cold).select("_id", "_n", F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("_comp"))
     alone = signed.filter("_n = 0").select("_id", "_n", F.col("_id").alias("_comp"))
     return found.unionByName(alone).select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_comp").alias("component_id"), F.col("_id").eqNullSafe(F.col("_comp")).alias("kept"))
