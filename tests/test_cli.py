@@ -123,6 +123,21 @@ def test_trees(spark, tmp_path):
             cli.run_tree_svg(spark, [str(arcs), *bad])
 
 
+def test_statistics_of_a_run(spark, tmp_path, records, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "STATS_EVERY", 2)
+    run(spark, tmp_path, records, "--stats", "--sets")
+    said = [x.split() for x in capsys.readouterr().err.splitlines()]
+    # After two records both are live; the third spends one output of each, the last one spends the rest.
+    assert [x[1:3] + x[5:] for x in said[:2]] == [["2", "records", "2", "live", "set", "elems", "2", "peak", "set", "elems", "2", "colored", "txs"], ["4", "records", "0", "live", "set", "elems", "3", "peak", "set", "elems", "0", "colored", "txs"]]
+    assert said[2][1:3] == ["4", "records"] and said[2][-1] == "total"
+    assert " ".join(said[3]) == "audit: 0 live set elems, all reachable"
+    run(spark, tmp_path, records, "3", "--stats")
+    said = capsys.readouterr().err.splitlines()
+    assert "4 live nodes" not in said[0] and said[0].split()[5:8] == ["5", "live", "nodes"] and said[-1] == "audit: 6 live nodes, all reachable"
+    run(spark, tmp_path, records, "--stats", "--weighted")
+    assert capsys.readouterr().err.splitlines()[-1] == "audit: 0 live terms, all reachable, worst drift from sum 1 was 0.000e0"
+
+
 def test_pixels_that_nodes_share_are_told(spark, tmp_path, capsys):
     arcs = tmp_path / "fan.arcs"
     arcs.write_text("".join(f"0 {k}\n" for k in range(1, 40)))

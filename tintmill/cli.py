@@ -7,6 +7,8 @@
 
 Records come from standard input where no path is given. Of several pictures the last one is drawn.
 A record that can't be read, or spends what isn't there, ends the run after the lines of those before.
+Statistics are those of the records, not of the clock: all lines tell the time and rate of the whole run,
+and what is live is counted color by color, whether or not equal ones would share memory.
 A graph is a table of arcs (.parquet, .csv, .txt or .arcs), or the basename of a compressed web-graph.
 Rows are ordered by the cluster and streamed through the driver partition by partition, so a picture
 needs no more memory there than a partition of it.
@@ -23,12 +25,14 @@ from typing import BinaryIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import color, forest, layout, picture, utxo
+from .operators import color, forest, layout, picture, usage, utxo
 from .plans.lineage import shared_folder, written
 from .sources import graphs, webgraph
 from .sources import records as text
 
 LIMIT = 1_000_001
+#: Records between two lines about what is live.
+STATS_EVERY = 100_000
 
 
 class UsageError(ValueError):
@@ -93,6 +97,22 @@ def total_line(seconds: float, records: int) -> str:
     return f"{seconds:>10.2f}s {records:>10} records {pace(records, seconds):>11}  total"
 
 
+_LABELS = {"rings": ("live nodes", "arena nodes"), "sets": ("live set elems", "peak set elems"), "weighted": ("live terms", "peak terms")}
+
+
+def progress_line(seconds: float, records: int, rate: str, live: int, most: int, txs: int, mode: str) -> str:
+    now, peak = _LABELS[mode]
+    return f"{seconds:>10.2f}s {records:>10} records {rate:>11}  {live:>12} {now}  {most:>12} {peak}  {txs:>10} colored txs"
+
+
+def audit_line(held: int, mode: str, drift: float | None = None) -> str:
+    line = f"audit: {held} {_LABELS[mode][0]}, all reachable"
+    if drift is not None:
+        mantissa, _, power = f"{drift:.3e}".partition("e")
+        line += f", worst drift from sum 1 was {mantissa}e{int(power)}"
+    return line
+
+
 def picture_lines(columns: int, rows: int, runs: int, a_row: int, pbm: int, svg: int) -> list[str]:
     return [f"picture: {columns} columns x {rows} rows", f"picture: {runs} runs, {a_row} a row: {pbm} bytes a row as --pbm, {svg} as --svg"]
 
@@ -207,12 +227,15 @@ def run_color(spark: SparkSession, args: Sequence[str]) -> None:
                     out.write(row[0].encode())
                 out.write(picture.SVG_TAIL.encode())
     if "--stats" in flags:
-        _say(total_line(time.monotonic() - began, n))
-        live = utxo.live(parsed, inputs).join(colors.groupBy("seq").count(), F.col("version_seq") == F.col("seq"))
-        txs, terms = live.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-        _say(f"{n} records over {surveyed} blocks; {txs} colored txs live, {terms} terms")
-        if mode == "weighted":
-            _say(f"largest distance of a color's mass from one: {color.drift(colors).first()[0]:.3g}")
+        took = time.monotonic() - began
+        # Rings hold a node more a color than it has terms, and one more for the empty ring.
+        node = 1 if mode == "rings" else 0
+        sizes = written(colors.groupBy("seq").agg((F.count("*") + node).alias("size")))
+        for r in usage.progress(parsed, inputs, sizes, STATS_EVERY, n).orderBy("records").toLocalIterator():
+            _say(progress_line(took, r["records"], pace(n, took), r["live"] + node, r["peak"] + node, r["txs"], mode))
+        _say(total_line(took, n))
+        held = utxo.live(parsed, inputs).join(sizes, F.col("version_seq") == F.col("seq")).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        _say(audit_line(held + node, mode, color.drift(colors).first()[0] if mode == "weighted" else None))
         if drawn:
             said = picture.stats(picture.runs(pixels), width, rows).first()
             for line in picture_lines(width, rows, said["runs"], said["runs_a_row"], said["pbm_row_bytes"], said["svg_row_bytes"]):

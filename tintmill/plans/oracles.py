@@ -103,6 +103,11 @@ ORACLES: dict[str, str] = {
     "record_limit": f"{_STREAM} SELECT seq, tx_id, block_id FROM recs WHERE seq < {LIMIT}",
     "survey": f"{_STREAM} SELECT coalesce(max(block_id) + 1, 0) AS blocks, count(*) AS records FROM recs",
     "escaped_block": f"{_COLORS} SELECT tx_id AS seq, max(block) AS block, 'block ' || max(block) || ' has no column in a {NARROW}-column picture; rerun with --blocks ' || (max(block) + 1) || ' or more' AS message FROM color WHERE block >= {NARROW} GROUP BY tx_id ORDER BY tx_id LIMIT 1",
+    "stats_progress": f"{_COLORS}, sizes AS (SELECT tx_id, count(*) AS size FROM color GROUP BY 1), used AS (SELECT prev_tx_id AS tx_id, seq AS place, row_number() OVER (PARTITION BY prev_tx_id ORDER BY seq, pos DESC) AS k FROM ins), "
+    "events AS (SELECT r.seq AS place, 1 AS n, s.size AS d FROM recs r JOIN sizes s USING (tx_id) WHERE r.outputs > 0 UNION ALL SELECT u.place, -1, -s.size FROM used u JOIN recs r USING (tx_id) JOIN sizes s USING (tx_id) WHERE u.k = r.outputs), "
+    "sums AS (SELECT place, sum(n) AS n, sum(d) AS d FROM events GROUP BY 1), so_far AS (SELECT place, sum(n) OVER (ORDER BY place) AS txs, sum(d) OVER (ORDER BY place) AS live FROM sums), "
+    f"marks AS (SELECT unnest(range({LIMIT}, (SELECT count(*) FROM recs) + 1, {LIMIT})) AS records) "
+    "SELECT m.records, arg_max(txs, place)::BIGINT AS live_txs, arg_max(live, place)::BIGINT AS set_elements, max(live)::BIGINT AS peak_elements FROM marks m JOIN so_far u ON u.place < m.records GROUP BY 1",
     "stats_live": f"{_COLORS}, used AS (SELECT prev_tx_id AS tx_id, count(*) AS n FROM ins GROUP BY 1), held AS (SELECT tx_id FROM recs LEFT JOIN used USING (tx_id) WHERE outputs > coalesce(n, 0)), sizes AS (SELECT tx_id, count(*) AS size FROM color GROUP BY 1) SELECT count(*) AS live_txs, sum(size)::BIGINT AS set_elements, (1 + sum(size + 1))::BIGINT AS ring_nodes FROM held JOIN sizes USING (tx_id)",
     "bin_rows": f'{_PIXELS} SELECT "row", block FROM pixels',
     "row_runs": f'{_PIXELS} SELECT "row", start, length FROM runs',

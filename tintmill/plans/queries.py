@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, polynomials
-from ..operators import color, forest, layout, picture, utxo
+from ..operators import color, forest, layout, picture, usage, utxo
 from ..sources import graphs
 from ..sources import records as text
 from . import fixtures
@@ -163,6 +163,13 @@ def stats_live(spark, sf_dir):
     return held.agg(F.count("*").alias("live_txs"), F.sum("size").alias("set_elements"), (1 + F.sum(F.col("size") + 1)).alias("ring_nodes"))
 
 
+def stats_progress(spark, sf_dir):
+    records, inputs, spends = _spent(spark, sf_dir)
+    sizes = color.closure(records, inputs, spends).groupBy("seq").agg(F.count("*").alias("size"))
+    own = usage.progress(records, inputs, sizes, LIMIT, records.count())
+    return own.select("records", F.col("txs").alias("live_txs"), F.col("live").alias("set_elements"), F.col("peak").alias("peak_elements"))
+
+
 def _picture(spark, sf_dir) -> tuple[DataFrame, int, int]:
     blocks, n = picture.survey(_stream(spark, sf_dir)[0]).first()
     return cut(picture.pixels(_colors(spark, sf_dir), BIN, blocks)), blocks, picture.height(n, BIN)
@@ -309,7 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_records, scan_prune, scan_validate, graph_arcs, graph_successors, coinbase_colors, versions, spend_edges, asof_versions, utxo_spend_rank, utxo_remaining, utxo_live, unknown_spends, first_unknown_spend,
-        input_share, color_closure, color_weighted, path_counts, weight_drift, color_terms_desc, text_lines, weighted_text, record_limit, survey, escaped_block, stats_live, bin_rows, row_runs, pbm_rows, svg_strokes, svg_header, picture_stats,
+        input_share, color_closure, color_weighted, path_counts, weight_drift, color_terms_desc, text_lines, weighted_text, record_limit, survey, escaped_block, stats_live, stats_progress, bin_rows, row_runs, pbm_rows, svg_strokes, svg_header, picture_stats,
         color_union, color_combine, color_scale, rate_format, human_size, forest_roots, forest_parents, forest_depth, forest_leaves, forest_summary, tree_layout, tree_bbox, tree_dots, tree_collisions, tree_circles, tree_pbm, tree_pgm,
     )
 } | {"poly_op": _poly(lambda p, q: polynomials.op(p, q, F.greatest)), "poly_add": _poly(polynomials.add), "poly_ior": _poly(polynomials.ior)}
