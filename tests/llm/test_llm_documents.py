@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,36 @@ def test_blocks_grow_with_the_square_root_of_the_corpus():
     assert 1.7e8 < block < 1.9e8 and abs(block * items / 10**14 - substring.MESSAGE_ITEMS) < 1
 
 
+def test_parts_of_a_block_change_nothing(spark, docs, monkeypatch):
+    """Words laid out a few texts at a time, in one block: the same removals and scores."""
+    df = docs.unionByName(docs.limit(0)).coalesce(1)
+    plain = substring.remove_repeats(df, join=True).select("doc_id", "n_removed", "text").collect()
+    scored = lm.scores(df, F.col("doc_id") % 2 == 0).collect()
+    own = textops.Block.__init__
+    small = lambda self, ids, texts, order, lower=False, limit=0: own(self, ids, texts, order, lower, 300)
+    block = textops.Block([1, 2, 3], ["a" * 200, "b" * 200, None], [0, 1, 2], limit=300)
+    assert block.parts == [(0, 1), (1, 3)]
+    monkeypatch.setattr(textops.Block, "__init__", small)
+
+    t = df.select(F.lit(0).cast("long").alias("_block"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("doc_id") % 2 == 0).alias("_learnt")).toArrow()
+    plan = substring._Plan(100, substring.WINDOW)
+    plan.blocks, plan.owner_bits = 1, 0
+    key = (pa.scalar(0),)
+    repeated = substring._merge(substring._sketch(plan)(key, t))
+    later = substring._group(substring._exact(plan)(t, repeated))
+    done = substring._remove(plan, True)(t.drop_columns(["_learnt"]).append_column("_rest", pa.array([None] * t.num_rows)), later)
+    assert sorted(zip(done["_id"].to_pylist(), done["_removed"].to_pylist(), done["_kept"].to_pylist())) == sorted(map(tuple, plain))
+    sizes = lm._Sizes(1000)
+    asked = lm._ask(sizes)(key, t)
+    told = lm._add(key, asked)
+    total = scored[0].train_tokens
+    train = [w for i, x, *_ in corpus() if i % 2 == 0 for w in [*words(x.translate(LOWER)), "\0"]]
+    out = lm._walk(sizes, total, len(set(train)))(t, told).to_pydict()
+    want = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in scored}
+    for i, n, known, score in zip(out["_id"], out["_tokens"], out["_known"], out["_score"]):
+        assert (n, known) == want[i][:2] and math.isclose(score, want[i][2], rel_tol=1e-12)
+
+
 def test_substring_dedup_over_many_blocks(docs, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_CHARS", 500)
     monkeypatch.setattr(substring, "MESSAGE_ITEMS", 0)

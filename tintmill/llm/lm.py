@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .substring import _bits, block_sizes
-from .textops import Words, chunks, deltas, joined, mix, release, undeltas
+from .textops import Block, Words, chunks, deltas, joined, mix, release, undeltas
 
 #: Highest order, and the weight of an order's lower-order estimate by order from two on.
 ORDER = 3
@@ -104,16 +104,15 @@ class _Sizes:
         return (keys >> np.uint64(width - self.owner_bits)).astype(np.int64) if self.owner_bits else np.zeros(len(keys), np.int64)
 
 
-class _Grams:
-    """Tokens of a block's texts, each text after the start and before its end; longer n-grams; which are learnt from.
+class _Part:
+    """Tokens of some texts, each text after the start and before its end, and the longer n-grams.
 
     ``at[k]``: for each token, the place of the n-gram of order k + 1 that ends with it among the distinct keys of
     its kind, or -1 where the text hasn't so many tokens before it; ``context[k]``: likewise of the n-gram before it.
     """
 
-    def __init__(self, texts: list, learnt: np.ndarray, sizes: _Sizes):
-        words = Words(texts, lower=True)
-        n, docs = len(words.doc), len(texts)
+    def __init__(self, words: Words, learnt: np.ndarray, sizes: _Sizes):
+        n, docs = len(words.doc), len(words.count)
         begin = words.first + 2 * np.arange(docs + 1)
         every = np.full(n + 2 * docs, _END, np.uint64)
         every[begin[:-1]] = _START
@@ -124,32 +123,56 @@ class _Grams:
         self.tokens, token_at = np.unique(every, return_inverse=True)
         # The start counts as often as texts are learnt from.
         self.token_n = np.bincount(token_at, used, len(self.tokens)).astype(np.int64)
-        self.start = int(np.searchsorted(self.tokens, _START))
         depth = np.arange(len(every)) - np.repeat(begin[:-1], np.diff(begin))
-        gram, grams = every, []
+        gram, keys, ends = every, [], []
         for k in range(1, ORDER):
-            longer = joined(gram[:-1], every[k:])
-            gram, own = longer, depth[k:] >= k
-            grams.append(np.where(own, mix(longer + np.uint64(k)) >> np.uint64(64 - sizes.width), np.uint64(0)))
-        valid = [depth[k:] >= k for k in range(1, ORDER)]
-        flat = np.concatenate([g[v] for g, v in zip(grams, valid)])
-        self.keys, flat_at = np.unique(flat, return_inverse=True)
-        self.key_n = np.bincount(flat_at, np.concatenate([used[k:][v] for k, v in zip(range(1, ORDER), valid)]), len(self.keys)).astype(np.int64)
+            gram = joined(gram[:-1], every[k:])
+            ends.append(np.flatnonzero(depth[k:] >= k))
+            keys.append(mix(gram[ends[-1]] + np.uint64(k)) >> np.uint64(64 - sizes.width))
+        self.keys, key_at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.key_n = np.bincount(key_at, np.concatenate([used[k + 1 :][x] for k, x in enumerate(ends)]), len(self.keys)).astype(np.int64)
         at, done = [token_at], 0
-        for k, v in zip(range(1, ORDER), valid):
+        for k, x in enumerate(ends):
             one = np.full(len(every), -1)
-            one[np.flatnonzero(v) + k] = flat_at[done : done + int(v.sum())]
-            done += int(v.sum())
+            one[x + k + 1] = key_at[done : done + len(x)]
+            done += len(x)
             at.append(one)
         self.at = [x[place] for x in at]
         self.context = [x[place - 1] for x in at[:-1]]
 
 
-def _read(t: pa.Table) -> tuple[list, np.ndarray, list]:
-    release()
-    ids, texts = t.column("_id").to_pylist(), t.column("_text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] or ""))
-    return [texts[k] for k in order], t.column("_learnt").to_numpy()[order].astype(bool), order
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, counts) together, with their counts added."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+class _Grams:
+    """The distinct tokens and longer n-grams of a block, with how often its texts that are learnt from have them."""
+
+    def __init__(self, t: pa.Table, sizes: _Sizes):
+        release()
+        ids, texts = t.column("_id").to_pylist(), t.column("_text").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] or ""))
+        self.block, self.sizes, self._last = Block(ids, texts, order, lower=True), sizes, (-1, None)
+        self.learnt = t.column("_learnt").to_numpy()[order].astype(bool)
+        tokens, keys = [], []
+        for k in range(len(self.block.parts)):
+            own = self.part(k)
+            tokens.append((own.tokens, own.token_n))
+            keys.append((own.keys, own.key_n))
+        self.tokens, self.token_n = _summed(tokens)
+        self.keys, self.key_n = _summed(keys)
+
+    def part(self, k: int) -> _Part:
+        """One part's tokens and n-grams; the last one made is kept."""
+        if self._last[0] != k:
+            self._last = (-1, None)
+            a, b = self.block.parts[k]
+            self._last = (k, _Part(self.block.words(k), self.learnt[a:b], self.sizes))
+        return self._last[1]
 
 
 def _borders(owner: np.ndarray) -> list[tuple[int, int]]:
@@ -159,8 +182,7 @@ def _borders(owner: np.ndarray) -> list[tuple[int, int]]:
 
 def _ask(sizes: _Sizes):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        texts, learnt, _ = _read(t)
-        own, block, out = _Grams(texts, learnt, sizes), key[0].as_py(), []
+        own, block, out = _Grams(t, sizes), key[0].as_py(), []
         for kind, keys, n in ((_TOKEN, own.tokens, own.token_n), (_GRAM, own.keys, own.key_n)):
             owner = sizes.owners(kind, keys)
             out += [(block, int(owner[a]), kind, _keys(keys[a:b]), _numbers(n[a:b])) for a, b in _borders(owner)]
@@ -207,40 +229,48 @@ def _traverse(first: list, arcs: list, fails: list, depth0: int, order: int) ->
 
 def _walk(sizes: _Sizes, total: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, learnt, order = _read(left)
-        own = _Grams(texts, learnt, sizes)
+        own = _Grams(left, sizes)
         none, told = np.zeros(0, np.int64), _rows(right)
         token_n, key_n = (np.concatenate([none, *(_unnumbers(m) for _, m in sorted((o, m) for _, o, r, _, m in told if r == kind))]) for kind in (_TOKEN, _GRAM))
-        seen = token_n.copy()
-        seen[own.start] = 0
-        base = ((seen + 0.5) / (total + 0.5 * (distinct + 1)))[own.at[0]]
-        known = seen[own.at[0]] > 0
-        root = np.log10(base)
-        gather = lambda x: np.add.reduceat(x, own.first[:-1])  # noqa: E731  every text has its end at least
-
-        smooth, arcs, fails = base, [root], [known]
-        counts = [token_n, *[key_n] * (ORDER - 1)]
-        for k in range(1, ORDER):
-            here, before = own.at[k], own.context[k - 1]
-            n = np.where(before >= 0, counts[k - 1][before], 0)
-            c = np.where(here >= 0, key_n[here], 0) if len(key_n) else np.zeros(len(here), np.int64)
-            smooth = (c + PRIOR[k - 1] * smooth) / (n + PRIOR[k - 1])
-            arcs.append(np.where(c > 0, np.log10(smooth), np.nan))
-            fails.append(np.log10(PRIOR[k - 1] / (n + PRIOR[k - 1])))
-        score = []
-        # A few texts at a time, since the traversal reads plain numbers.
-        step = np.searchsorted(own.first, np.arange(0, own.first[-1] + 1, 1 << 16), "left")
-        for a, b in zip(step, [*step[1:], len(texts)]):
-            if a < b:
-                lo, hi = own.first[a], own.first[b]
-                some = [x[lo:hi].tolist() for x in arcs]
-                score += _traverse((own.first[a : b + 1] - lo).tolist(), some, [known[lo:hi].astype(int).tolist(), *(x[lo:hi].tolist() for x in fails[1:])], int(token_n[own.start] > 0), ORDER)
-        ids = left.select(["_id"]).take(pa.array(order, pa.int64()))
-        return pa.table({"_id": ids.column("_id"), "_learnt": pa.array(learnt), "_tokens": np.diff(own.first), "_known": gather(known.astype(np.int64)), "_base": gather(root), "_score": np.array(score, float)})
+        starts = int(token_n[np.searchsorted(own.tokens, _START)])
+        found = [_scored(own.part(k), own, token_n, key_n, starts, total, distinct) for k in range(len(own.block.parts))]
+        n, known, base, score = (np.concatenate(x) for x in zip(*found))
+        ids = left.select(["_id"]).take(pa.array(own.block.order, pa.int64()))
+        return pa.table({"_id": ids.column("_id"), "_learnt": pa.array(own.learnt), "_tokens": n, "_known": known, "_base": base, "_score": score})
 
     return run
 
 
+def _scored(part: _Part, own: _Grams, token_n: np.ndarray, key_n: np.ndarray, starts: int, total: int, distinct: int) -> tuple:
+    """Tokens, known tokens, base and score of each text of a part, by the counts of the block's tokens and n-grams."""
+    token_n = token_n if part.tokens is own.tokens else token_n[np.searchsorted(own.tokens, part.tokens)]
+    key_n = key_n if part.keys is own.keys else key_n[np.searchsorted(own.keys, part.keys)]
+    seen = np.where(part.tokens == _START, 0, token_n)
+    base = ((seen + 0.5) / (total + 0.5 * (distinct + 1)))[part.at[0]]
+    known = seen[part.at[0]] > 0
+    root = np.log10(base)
+    gather = lambda x: np.add.reduceat(x, part.first[:-1])  # noqa: E731  every text has its end at least
+
+    smooth, arcs, fails = base, [root], [known]
+    counts = [token_n, *[key_n] * (ORDER - 1)]
+    for k in range(1, ORDER):
+        here, before = part.at[k], part.context[k - 1]
+        n = np.where(before >= 0, counts[k - 1][before], 0)
+        c = np.where(here >= 0, key_n[here], 0)
+        smooth = (c + PRIOR[k - 1] * smooth) / (n + PRIOR[k - 1])
+        arcs.append(np.where(c > 0, np.log10(smooth), np.nan))
+        fails.append(np.log10(PRIOR[k - 1] / (n + PRIOR[k - 1])))
+    score = []
+    # A few texts at a time, since the traversal reads plain numbers.
+    step = np.searchsorted(part.first, np.arange(0, part.first[-1] + 1, 1 << 16), "left")
+    for a, b in zip(step, [*step[1:], len(part.first) - 1]):
+        if a < b:
+            lo, hi = part.first[a], part.first[b]
+            some = [x[lo:hi].tolist() for x in arcs]
+            score += _traverse((part.first[a : b + 1] - lo).tolist(), some, [known[lo:hi].astype(int).tolist(), *(x[lo:hi].tolist() for x in fails[1:])], int(starts > 0), ORDER)
+    return np.diff(part.first), gather(known.astype(np.int64)), gather(root), np.array(score, float)
+
+
 def _distinct(bits: int):
     """Distinct tokens of a partition's texts by owner, and how many tokens they are."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import total_chars
-from .textops import Words, deltas, inside, ngrams, release, undeltas
+from .textops import Block, Words, deltas, inside, ngrams, release, undeltas
 
 WINDOW = 20
 #: Characters of text a block holds at least, about, and entries of a block's message to an owner.
@@ -47,7 +47,9 @@ def block_sizes(chars: int, block_chars: int, owner_items: int) -> tuple[int, in
     """Characters of a block and items of an owner, for a corpus of so many characters.
 
     Both grow with its square root from where a message would hold fewer than ``MESSAGE_ITEMS``
-    items otherwise (at 100 TB: blocks of 180 MB), so that messages stay worth their overhead.
+    items otherwise (at 100 TB: blocks of 180 MB), so that messages stay worth their overhead. Words
+    are laid out a part of a block at a time; what a block holds as a whole is its texts and a few
+    numbers for each of its distinct windows.
     """
     block = max(block_chars, int((5 * MESSAGE_ITEMS * chars) ** 0.5))
     return block, max(owner_items, block // 5)
@@ -65,13 +67,13 @@ class _Plan:
         self.owner_bits = min(self.cell_bits, _bits(windows / items))
 
 
-def _read(t: pa.Table) -> tuple[np.ndarray, list, Words]:
-    """Ids (null: the smallest number) and words of a block, by id and text."""
+def _read(t: pa.Table) -> tuple[np.ndarray, Block]:
+    """Ids (null: the smallest number) and documents of a block, by id and text."""
     release()
     ids = np.array([np.iinfo(np.int64).min if v is None else v for v in t.column("_id").to_pylist()], np.int64)
     texts = t.column("_text").to_pylist()
     order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k] or ""))
-    return ids[order], order, Words([texts[k] for k in order])
+    return ids[order], Block(ids.tolist(), texts, order)
 
 
 def _windows(words: Words, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,8 @@ def _split(cells: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(plan: _Plan):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        _, _, words = _read(t)
-        _, h = _windows(words, plan)
+        _, block = _read(t)
+        h = np.concatenate([_windows(block.words(k), plan)[1] for k in range(len(block.parts))])
         out = []
         for row in range(ROWS):
             cells, n = np.unique(_cells(h, row, plan), return_counts=True)
@@ -131,22 +133,31 @@ def _exact(plan: _Plan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _ARROW.empty_table()
-        block = left.column("_block")[0].as_py()
-        ids, _, words = _read(left)
-        at, h = _windows(words, plan)
-        keep = np.ones(len(at), bool)
+        number = left.column("_block")[0].as_py()
+        ids, block = _read(left)
+        parts = [_windows(block.words(k), plan) for k in range(len(block.parts))]
+        good = []
         for row in range(ROWS):
-            cells = _cells(h, row, plan)
             known = [undeltas(d) for r, d in zip(right.column("_row").to_pylist(), right.column("_data").to_pylist()) if r == row]
-            seen, n = np.unique(cells, return_counts=True)
-            good = np.unique(np.concatenate([*known, seen[n > 1]]))
-            keep &= good[np.minimum(np.searchsorted(good, cells), len(good) - 1)] == cells if len(good) else False
-        at, h = at[keep], h[keep]
-        if not len(at):
+            seen, n = np.unique(np.concatenate([_cells(h, row, plan) for _, h in parts]), return_counts=True)
+            good.append(np.unique(np.concatenate([*known, seen[n > 1]])))
+        found = []
+        for k, (at, h) in enumerate(parts):
+            keep = np.full(len(at), all(len(x) for x in good))
+            for row, own in enumerate(good):
+                if keep.any():
+                    cells = _cells(h, row, plan)
+                    keep &= own[np.minimum(np.searchsorted(own, cells), len(own) - 1)] == cells
+            parts[k] = None
+            if keep.any():
+                words, at = block.words(k), at[keep]
+                some = np.zeros(len(at), _KEY)
+                some["h1"], some["h2"] = h[keep], ngrams(words.hashes(1), plan.window, 1)[at]
+                some["doc"], some["start"] = ids[block.parts[k][0] + words.doc[at]], at - words.first[words.doc[at]]
+                found.append(some)
+        if not found:
             return _ARROW.empty_table()
-        entry = np.zeros(len(at), _KEY)
-        entry["h1"], entry["h2"] = h, ngrams(words.hashes(1), plan.window, 1)[at]
-        entry["doc"], entry["start"] = ids[words.doc[at]], at - words.first[words.doc[at]]
+        entry = np.concatenate(found)
         entry = entry[np.lexsort((entry["start"], entry["doc"], entry["h2"], entry["h1"]))]
         new = np.ones(len(entry), bool)
         new[1:] = (entry["h1"][1:] != entry["h1"][:-1]) | (entry["h2"][1:] != entry["h2"][:-1])
@@ -155,9 +166,9 @@ def _exact(plan: _Plan):
         first = entry[new]
         owner = first["h1"] >> np.uint64(64 - plan.owner_bits) if plan.owner_bits else np.zeros(len(first), np.uint64)
         cut = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ np.uint64(1)))
-        out = [{"_block": block, "_owner": int(owner[a]), "_row": 0, "_data": _planes(first[a:b])} for a, b in zip(cut, [*cut[1:], len(first)])]
+        out = [{"_block": number, "_owner": int(owner[a]), "_row": 0, "_data": _planes(first[a:b])} for a, b in zip(cut, [*cut[1:], len(first)])]
         # What the block settles by itself passes through some owner, unchanged.
-        out.append({"_block": block, "_owner": block % (1 << plan.owner_bits), "_row": 1, "_data": _places(later["doc"], later["start"])})
+        out.append({"_block": number, "_owner": number % (1 << plan.owner_bits), "_row": 1, "_data": _places(later["doc"], later["start"])})
         return pa.Table.from_pylist(out, schema=_ARROW)
 
     return run
@@ -204,29 +215,34 @@ def _group(t: pa.Table) -> pa.Table:
 
 def _remove(plan: _Plan, join: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, order, words = _read(left)
-        hit = np.zeros(len(words.doc) + 1, np.int64)
+        ids, block = _read(left)
         place = np.concatenate([np.zeros(0, _PLACE), *(_unplanes(d, _PLACE) for d in right.column("_data").to_pylist())])
         # Rows that share an id share its places, as far as they have that many words.
         lo, hi = np.searchsorted(ids, place["doc"], "left"), np.searchsorted(ids, place["doc"], "right")
-        for k in range(int((hi - lo).max()) if len(place) else 0):
-            doc, start = (lo + k)[lo + k < hi], place["start"][lo + k < hi]
-            fits = start + plan.window <= words.count[doc]
-            np.add.at(hit, (words.first[doc] + start)[fits], 1)
-            np.add.at(hit, (words.first[doc] + start + plan.window)[fits], -1)
-        gone = np.cumsum(hit[:-1]) > 0
-        texts = left.column("_text").to_pylist()
-        kept, removed = [], np.zeros(len(ids), np.int64)
-        for d, at in enumerate(order):
-            a, b = words.first[d], words.first[d + 1]
-            removed[d] = gone[a:b].sum()
-            if removed[d] or join:
-                stay = ~gone[a:b]
-                kept.append(b" ".join([words.blob[s:e] for s, e in zip(words.starts[a:b][stay].tolist(), words.ends[a:b][stay].tolist())]).decode("utf-8", "surrogatepass"))
-            else:
-                kept.append(texts[at])
+        kept, counts, removed = [], [], []
+        for k, (first, last) in enumerate(block.parts):
+            words = block.words(k)
+            hit = np.zeros(len(words.doc) + 1, np.int64)
+            a, b = np.maximum(lo, first), np.minimum(hi, last)
+            for j in range(int((b - a).max()) if len(place) else 0):
+                doc, start = (a + j)[a + j < b] - first, place["start"][a + j < b]
+                fits = start + plan.window <= words.count[doc]
+                np.add.at(hit, (words.first[doc] + start)[fits], 1)
+                np.add.at(hit, (words.first[doc] + start + plan.window)[fits], -1)
+            gone = np.cumsum(hit[:-1]) > 0
+            lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+            for d, n in enumerate(lost.tolist()):
+                if n or join:
+                    x, y = words.first[d], words.first[d + 1]
+                    stay = ~gone[x:y]
+                    kept.append(b" ".join([words.blob[s:e] for s, e in zip(words.starts[x:y][stay].tolist(), words.ends[x:y][stay].tolist())]).decode("utf-8", "surrogatepass"))
+                else:
+                    kept.append(block.texts[first + d])
+            counts.append(words.count)
+            removed.append(lost)
+        order = block.order
         out = left.drop_columns(["_block", "_text"]).take(pa.array(order, pa.int64()))
-        for name, value in (("_words", pa.array(words.count, pa.int64())), ("_removed", pa.array(removed)), ("_kept", pa.array(kept, pa.string()))):
+        for name, value in (("_words", pa.array(np.concatenate(counts), pa.int64())), ("_removed", pa.array(np.concatenate(removed), pa.int64())), ("_kept", pa.array(kept, pa.string()))):
             out = out.append_column(name, value)
         return out
 

@@ -93,6 +93,32 @@ class Words:
         return out
 
 
+class Block:
+    """A block's documents by id and text, whose words are laid out a part at a time.
+
+    A part holds about ``limit`` characters (a longer text is alone), so the arrays over words don't
+    grow with the block. The last part laid out is kept, so a block of one part is laid out once.
+    """
+
+    def __init__(self, ids: list, texts: list, order: list[int], lower: bool = False, limit: int = 1 << 23):
+        self.order, self.lower, self._last = order, lower, (-1, None)
+        self.ids, self.texts = [ids[k] for k in order], [texts[k] for k in order]
+        upto = np.cumsum([len(t or "") for t in self.texts], dtype=np.int64)
+        cuts = [0]
+        while cuts[-1] < len(self.texts):
+            a = cuts[-1]
+            cuts.append(max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, "right"))))
+        #: First and last document of each part; a block without documents has one part of none.
+        self.parts = list(zip(cuts[:-1], cuts[1:])) or [(0, 0)]
+
+    def words(self, k: int) -> Words:
+        if self._last[0] != k:
+            self._last = (-1, None)
+            a, b = self.parts[k]
+            self._last = (k, Words(self.texts[a:b], self.lower))
+        return self._last[1]
+
+
 def joined(x: np.ndarray, y: np.ndarray, which: int = 0) -> np.ndarray:
     """A hash of the sequence x then y, from the hashes of both."""
     z = (x * np.uint64(_LEFT[which])) ^ ((y + np.uint64(_SEED[which])) * np.uint64(_RIGHT[which]))
