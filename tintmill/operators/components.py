@@ -1,30 +1,66 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: in one task while the edges are few, by alternating large-star and small-star rounds beyond."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
-#: Edges of a written part, about.
-PART_EDGES = 1_000_000
+#: Counted edges up to which one task joins all components, and edges of a written part, about.
+TASK_EDGES, PART_EDGES = 1_000_000, 1_000_000
+#: A node is a hub with this many edges at least, and with this share of all, so there are at most 200,000 hubs.
+HUB_EDGES, HUB_SHARE = 1000, 1e-5
+
+
+def _joined(batches):
+    """Components of all edges by hooking larger labels on smaller ones, with pointer jumping."""
+    batches = [x for x in batches if x.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    nodes, at = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
+    u, v = at[: t.num_rows], at[t.num_rows :]
+    up = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(up[u], up[v]), np.maximum(up[u], up[v])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(up, high[apart], low[apart])
+        while (next_ := up[up]).tobytes() != up.tobytes():
+            up = next_
+    yield pa.RecordBatch.from_pydict({"node": nodes, "comp": nodes[up]})
+
+
+def _with_least(both: DataFrame, n: int) -> DataFrame:
+    """``both`` (u, v) with the least ``m`` of u's neighbours and itself; rows of a hub meet it where they are."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of")).select("u", F.least("u", "m").alias("m"), "of")
+    many = F.col("of") >= max(HUB_EDGES, int(HUB_SHARE * 2 * n))
+    near = both.join(F.broadcast(least.filter(many).select("u", F.col("m").alias("hub"))), "u", "left")
+    rest = near.filter("hub is null").drop("hub").join(least.filter(~many).drop("of"), "u")
+    return near.filter("hub is not null").withColumnRenamed("hub", "m").unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v), comp being the smallest node it is linked with.
 
-    Each round hangs neighbours on a smaller neighbour; the rounds end when every node hangs on one
-    node that hangs on none. Hubs are reduced by a partial minimum, then joined, so no task gathers
-    a component. Loops and repeated edges do nothing; null ends are dropped; no edges give no rows.
+    Up to ``TASK_EDGES`` distinct edges are joined by one task. Beyond, each round hangs neighbours on
+    a smaller neighbour; the rounds end when every node hangs on one node that hangs on none. Hubs
+    are reduced by a partial minimum, which goes to their edges, so no task gathers a component.
+    Loops and repeated edges do nothing; null ends are dropped; no edges give no rows.
     """
-    e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = written(edges.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    n = e.count()
+    if n <= TASK_EDGES:
+        return written(e.coalesce(1).mapInArrow(_joined, "node long, comp long"))
     # Rounds never have more edges than nodes and edges together; few rows aren't worth a file for every partition.
-    parts = -(-e.count() // PART_EDGES)
-    while parts:
+    parts = max(1, -(-n // PART_EDGES))
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = written(small.filter("u <> v").distinct().coalesce(parts))
