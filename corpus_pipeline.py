@@ -24,11 +24,18 @@ def _sized(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
+#: The columns that stages look at.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with further columns under names that no stage or operator uses."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in OWN else f"further_{k}") for k, c in enumerate(docs.columns)))
+
+
+def _named(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, by their own names, from a result that has those of ``_plain``."""
+    return done.select(*(F.col(c if c in OWN else f"further_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +46,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     nothing is rejected. No rows give none; further columns pass through, whatever their names.
     """
     _sized(spark)
-    key = _fresh(docs, "_text_hash")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
-    scored = quality.score(keyed, table(spark, sf_dir, "labels"), carry=["doc_id", key])
-    bad = cut(scored.filter(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias(_fresh(docs, "_bad_id")), F.col(key).alias(_fresh(docs, "_bad_hash"))).distinct())
-    same = keyed["doc_id"].eqNullSafe(bad[bad.columns[0]]) & keyed[key].eqNullSafe(bad[bad.columns[1]])
-    return keyed.join(small(bad, bad.count()), same, "left_anti").drop(key)
+    keyed = _plain(docs).withColumn("_hash", F.xxhash64("text"))
+    scored = quality.score(keyed, table(spark, sf_dir, "labels"), carry=["doc_id", "_hash"])
+    bad = cut(scored.filter(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias("_bad_id"), F.col("_hash").alias("_bad_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_hash").eqNullSafe(F.col("_bad_hash"))
+    return _named(keyed.join(small(bad, bad.count()), same, "left_anti"), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +60,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     further columns pass through, whatever their names.
     """
     _sized(spark)
-    found = cut(neardup.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("doc_id is not null and (not kept or rows > 1)"))
+    own = _plain(docs)
+    found = cut(neardup.near_duplicates(own).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("doc_id is not null and (not kept or rows > 1)"))
     n = found.count()
-    alone = docs.join(small(found.select("doc_id"), n), "doc_id", "left_anti")
-    again = docs.join(small(found.filter("kept").select("doc_id"), n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(again).select(docs.columns)
+    alone = own.join(small(found.select("doc_id"), n), "doc_id", "left_anti")
+    again = own.join(small(found.filter("kept").select("doc_id"), n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _named(alone.unionByName(again), docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +75,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are one place, of which none repeats another. No rows give none; further columns pass through.
     """
     _sized(spark)
-    removed, n = "n_removed", "n_words"
-    rest = docs.select([F.col(f"`{c}`").alias(f"c{k}") if c.lower() in (removed, n) else F.col(f"`{c}`") for k, c in enumerate(docs.columns)])
-    done = substring.remove_repeats(rest).filter("n_removed = 0 or n_removed < n_words")
-    size = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"c{k}" if c.lower() in (removed, n) else f"`{c}`").alias(c) for k, c in enumerate(docs.columns)]
-    return done.select(size)
+    done = substring.remove_repeats(_plain(docs)).filter("n_removed = 0 or n_removed < n_words")
+    return _named(done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")), docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,15 +84,14 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is one more source; null and empty texts have no words and come with whole epochs.
     Ties of keys go by id and text; repeated rows are taken one by one. The one cut copy a source
-    keeps its first words. No rows give none; further columns pass through, but for those with names
-    that the mix uses (``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``part``).
+    keeps its first words. Without labels of both kinds all weigh the same. No rows give none; further
+    columns pass through, whatever their names.
     """
     _sized(spark)
-    score = _fresh(docs, "score")
-    scored = written(quality.score(docs, table(spark, sf_dir, "labels")).withColumnRenamed("score", score) if score == "score" else docs.withColumn(score, F.lit(1.0)))
-    weight = F.greatest(F.col(score), F.lit(LEAST_WEIGHT))
-    mixed = mixing.mix(scored, carry=docs.columns, quality=weight)
-    return mixing.emit(mixed).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    own = _plain(docs)
+    scored = written(quality.score(own, table(spark, sf_dir, "labels")))
+    mixed = mixing.mix(scored, carry=own.columns, quality=F.greatest(F.col("score"), F.lit(LEAST_WEIGHT)))
+    return _named(mixing.emit(mixed).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
