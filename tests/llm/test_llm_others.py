@@ -226,6 +226,16 @@ def test_pipeline_stages(spark, tmp_path):
                 seen |= own
             assert twice == 0 or twice < 0.001 * len(seen)
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(docs.columns)
+    from tokenizers import Tokenizer
+
+    from tintmill.llm.queries import tokenizer_path
+
+    tokenizer, ids = Tokenizer.from_file(tokenizer_path()), {}
+    for r in sorted(docs.collect(), key=lambda r: (r.row_id, r.piece)):
+        assert len(r.ids) == r.length
+        ids[r.row_id] = ids.get(r.row_id, []) + list(r.ids)
+    want = sorted(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in before.collect())
+    assert sorted(ids.values()) == want
     assert sum(r.n for r in docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").collect()) == 0
 
 
@@ -243,6 +253,24 @@ def test_the_pipeline_takes_awkward_documents(spark, tmp_path):
         assert set(docs.columns) >= {"doc_id", "piece", "sequence_id"}
 
 
+def test_pipeline_stages_pass_further_columns(spark, tmp_path):
+    import corpus_pipeline as c
+
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(k, f"some words of document {k} here", "en", "ab"[k % 2], 5) for k in range(8)] + [(None, None, None, None, None)]
+    names = ["score", "size", "taken", "copies", "part", "target", "n_removed", "n_words", "_hash", "_text_hash", "rows", "kept", "_id", "_text", "comp"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.concat(F.lit(f"{x} of "), F.coalesce("doc_id", F.lit(-1))).alias(x) for x in names))
+    for name, stage in c.STAGES[:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.columns == docs.columns, name
+        for r in done.collect():
+            for x in names:
+                assert r[x] == f"{x} of {-1 if r.doc_id is None else r.doc_id}", (name, x)
+    packed = c.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert {tuple(r.ids)[-1] for r in packed} == {2} and len({r.row_id for r in packed}) == len(rows)
+
+
 def test_broken_markup_is_read_in_linear_time():
     n = 1_000_000
     cases = {
