@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the session names; one of its own only where it names none, as in local tests."""
+    """The folder for checkpoints that the session names.
+
+    Where it names none, one of its own: a temporary one if all runs in this process, as in local
+    tests, else one in the warehouse, which all machines see.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+            folder = tempfile.mkdtemp(prefix="checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
