@@ -47,15 +47,17 @@ def _with_least(both: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v), comp being the smallest node it is linked with.
 
-    Up to ``TASK_EDGES`` distinct edges are joined by one task. Beyond, each round hangs neighbours on
+    Up to ``TASK_EDGES`` edges are joined by one task. Beyond, each round hangs neighbours on
     a smaller neighbour; the rounds end when every node hangs on one node that hangs on none. Hubs
     are reduced by a partial minimum, which goes to their edges, so no task gathers a component.
-    Loops and repeated edges do nothing; null ends are dropped; no edges give no rows.
+    Loops and repeated edges do nothing; null ends are dropped; no edges give no rows. ``edges`` is
+    read twice, so it had better be a table.
     """
-    e = written(edges.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    own = edges.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    if own.count() <= TASK_EDGES:
+        return written(own.coalesce(1).mapInArrow(_joined, "node long, comp long"))
+    e = written(own.distinct())
     n = e.count()
-    if n <= TASK_EDGES:
-        return written(e.coalesce(1).mapInArrow(_joined, "node long, comp long"))
     # Rounds never have more edges than nodes and edges together; few rows aren't worth a file for every partition.
     parts = max(1, -(-n // PART_EDGES))
     while True:
