@@ -35,7 +35,7 @@ from .textops import Block, Words, chunks, deltas, joined, mix, release, undelta
 ORDER = 3
 PRIOR = (1000.0, 2.0)
 #: Characters of a block and n-grams of an owner at least; both grow with the corpus's square root.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 23
 OWNER_ITEMS = 1 << 20
 #: Hash bits of an n-gram beyond those that number the corpus's tokens.
 SPARE_BITS = 20

@@ -100,7 +100,7 @@ class Block:
     grow with the block. The last part laid out is kept, so a block of one part is laid out once.
     """
 
-    def __init__(self, ids: list, texts: list, order: list[int], lower: bool = False, limit: int = 1 << 23):
+    def __init__(self, ids: list, texts: list, order: list[int], lower: bool = False, limit: int = 3 << 22):
         self.order, self.lower, self._last = order, lower, (-1, None)
         self.ids, self.texts = [ids[k] for k in order], [texts[k] for k in order]
         upto = np.cumsum([len(t or "") for t in self.texts], dtype=np.int64)
