@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import dropped, written
 
 #: Edges that one task folds at most, and terms of colors that it holds; a graph of more terms is unrolled instead.
-TASK_EDGES, TASK_TERMS = 1_000_000, 20_000_000
+TASK_EDGES, TASK_TERMS = 1_000_000, 3_000_000
 #: Pairs to a row of edges and colors beyond which doubling stops.
 DENSE = 64
 U32 = 4_294_967_295
