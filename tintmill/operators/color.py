@@ -1,6 +1,6 @@
 """Colors: the blocks that a transaction's value descends from, along the spends.
 
-A graph of up to ``TASK_EDGES`` counted edges is folded in arrival order by one task. A larger one is
+A graph of up to ``TASK_EDGES`` counted edges, and as many coinbases, is folded in arrival order by one task. A larger one is
 unrolled by doubling: ``reach`` holds the colors over fewer than 2^k hops, ``hops`` the paths of
 exactly 2^k; a round adds what the paths reach and doubles them, so a chain of a million spends
 takes twenty rounds. Each round's rows are distinct (or summed), which keeps the work in proportion
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import dropped, written
 
-#: Edges that one task folds at most, and terms of colors that it holds; a graph of more terms is unrolled instead.
+#: Edges, and coinbases, that one task folds at most, and terms of colors that it holds; a graph of more terms is unrolled instead.
 TASK_EDGES, TASK_TERMS = 1_000_000, 3_000_000
 #: Pairs to a row of edges and colors beyond which doubling stops.
 DENSE = 64
@@ -100,7 +100,7 @@ def _fold(base: DataFrame, edges: DataFrame) -> DataFrame | None:
 def _reach(base: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, block[, w]) reached from ``base`` along ``edges`` (child, parent[, w]); with w, products are summed."""
     base, edges = written(base), written(edges)
-    if edges.count() <= TASK_EDGES:
+    if edges.count() <= TASK_EDGES and base.count() <= TASK_EDGES:
         done = _fold(base, edges)
         if done is not None:
             return done
