@@ -284,6 +284,14 @@ def test_broken_markup_is_read_in_linear_time():
             assert time.time() - begun < 5, (unit, tail)
 
 
+def test_pages_judged_some_nodes_at_a_time(trees, monkeypatch):
+    rng = np.random.default_rng(12)
+    own = [pages.Page(pages.make_page(rng)) for _ in range(30)] + [pages.Page(""), pages.Page("<div>x" * 300)]
+    want = pages.main_text(own, trees)
+    monkeypatch.setattr(pages, "NODES", 25)
+    assert pages.main_text(own, trees) == want
+
+
 def test_quotes_left_open_cost_no_text(trees):
     body = " ".join("Words of a main text, which go on for some time, as they do.".split() * 4)
     page = f"<body><article><p title=\"5\" tall\">{body}</p><p class='x>{body}</p></article></body>"

@@ -43,6 +43,9 @@ _TAGS = tuple(re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({inside})>") for inside in
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+#: Nodes whose features stand in memory together, about.
+NODES = 1 << 15
+
 #: Lexicon groups of attribute tokens.
 GROUPS = [
     "content article post entry main story body text blog page",
@@ -219,25 +222,26 @@ def _attr_tokens(source: str) -> list[str]:
     return out
 
 
-_known_attrs: dict[str, np.ndarray] = {}
+_known_attrs: dict[str, tuple[np.ndarray, int]] = {}
 
 
-def _attr_features(source: str) -> np.ndarray:
-    """Group flags of an element's attribute tokens, whether it has other ones, and how many."""
-    found = _known_attrs.get(source)
-    if found is None:
-        found = np.zeros(len(GROUPS) + 2)
+def _attr_features(source: str) -> tuple[np.ndarray, int]:
+    """Group flags of an element's attribute tokens, whether it has other ones, and how many; and the flags as bits."""
+    known = _known_attrs.get(source)
+    if known is None:
+        found, bits = np.zeros(len(GROUPS) + 2), 0
         for w in _attr_tokens(source):
-            found[_GROUP[w] if w in _GROUP else len(GROUPS)] = 1.0
+            found[_GROUP.get(w, len(GROUPS))] = 1.0
+            bits |= 1 << _GROUP[w] if w in _GROUP else 0
             found[-1] += 1
         if len(_known_attrs) > 20_000:
             _known_attrs.clear()
-        _known_attrs[source] = found
-    return found
+        known = _known_attrs[source] = found, bits
+    return known
 
 
-def features(page: Page) -> np.ndarray:
-    """A row of features for each node of a page."""
+def features(page: Page, limit: int | None = None) -> Iterator[np.ndarray]:
+    """A row of features for each node of a page, in matrices of at most ``limit`` rows."""
     n = len(page.tag)
     parent = np.array(page.parent)
     chars, links, tags, stops, words, blocks, paragraphs, longest = (np.zeros(n) for _ in range(8))
@@ -274,18 +278,21 @@ def features(page: Page) -> np.ndarray:
     begin = np.where(np.isfinite(begin), begin, total)
     elder[1:] = [before.get((p, t), 0) for p, t in zip(page.parent[1:], page.tag[1:])]
     size, link = np.maximum(chars, 1), np.minimum(links / np.maximum(chars, 1), 1)
-    numbers = np.stack([
-        page.depth, kids, rank / np.maximum(kids[up], 1), kids[up], same, elder, np.log1p(chars), np.log1p(own), link, chars / tags, stops / size, words / np.maximum(blocks, 1), np.log1p(paragraphs), np.log1p(blocks),
+    numbers = [
+        np.array(page.depth, float), kids, rank / np.maximum(kids[up], 1), kids[up], same, elder, np.log1p(chars), np.log1p(own), link, chars / tags, stops / size, words / np.maximum(blocks, 1), np.log1p(paragraphs), np.log1p(blocks),
         chars / max(total, 1), chars / np.maximum(chars[up], 1), begin / max(total, 1), (begin + chars) / max(total, 1), np.log1p(longest), link[up], np.log1p(chars[up]), np.log1p(tags), size / np.maximum(words, 1), np.full(n, np.log1p(total)),
-    ], axis=1)
-    own_tag = np.zeros((n, len(TAGS) + 1))
-    own_tag[np.arange(n), [_TAG.get(t, len(TAGS)) for t in page.tag]] = 1
-    attrs = np.array([_attr_features(a) for a in page.attrs])
-    # What the nearest ancestors say reaches down, but a node is judged on itself first.
-    above = np.zeros((n, len(GROUPS)))
+    ]
+    tag = np.array([_TAG.get(t, len(TAGS)) for t in page.tag])
+    said = [_attr_features(a) for a in page.attrs]
+    # What the nearest ancestors say reaches down, as a bit for each group, but a node is judged on itself first.
+    above = [0] * n
     for k in range(1, n):
-        above[k] = np.maximum(above[parent[k]], attrs[parent[k], : len(GROUPS)])
-    return np.hstack([numbers, own_tag, attrs, above, own_tag[up]])
+        above[k] = above[page.parent[k]] | said[page.parent[k]][1]
+    above, one = np.array(above), np.eye(len(TAGS) + 1)
+    for a in range(0, n, limit or n):
+        b = min(a + (limit or n), n)
+        ancestors = (above[a:b, None] >> np.arange(len(GROUPS)) & 1).astype(float)
+        yield np.hstack([np.stack([x[a:b] for x in numbers], axis=1), one[tag[a:b]], np.array([f for f, _ in said[a:b]]), ancestors, one[tag[up[a:b]]]])
 
 
 def truth(page: Page) -> np.ndarray:
@@ -467,18 +474,37 @@ def trained() -> Trees:
     rng = np.random.default_rng(SEED)
     pages = [Page(make_page(rng)) for _ in range(TRAIN_PAGES)]
     # The root is always in, and isn't learnt.
-    return Trees().fit(np.vstack([features(p)[1:] for p in pages]), np.concatenate([truth(p)[1:] for p in pages]).astype(float))
+    return Trees().fit(np.vstack([next(features(p))[1:] for p in pages]), np.concatenate([truth(p)[1:] for p in pages]).astype(float))
 
 
 def main_text(pages: list[Page], trees: Trees) -> list[str]:
     """Kept blocks of each page, a line each."""
-    rows = [features(p) for p in pages]
-    odds = trees.odds(np.vstack(rows)) if rows else np.zeros(0)
-    out, at = [], 0
-    for page, row in zip(pages, rows):
-        keep = decode(page.parent, odds[at : at + len(row)].copy())
-        at += len(row)
+    out, held = [], []
+
+    def judge() -> None:
+        odds = trees.odds(np.vstack([row for _, row in held]))
+        at = 0
+        for page, row in held:
+            say(page, odds[at : at + len(row)])
+            at += len(row)
+        held.clear()
+
+    def say(page: Page, odds: np.ndarray) -> None:
+        keep = decode(page.parent, odds.copy())
         out.append("\n".join(text for node, text, _, _ in page.runs if keep[node]))
+
+    for page in pages:
+        if len(page.tag) > NODES:
+            # A page of very many nodes is judged by itself, some at a time.
+            if held:
+                judge()
+            say(page, np.concatenate([trees.odds(x) for x in features(page, NODES)]))
+            continue
+        held += [(page, x) for x in features(page)]
+        if sum(len(x) for _, x in held) > NODES:
+            judge()
+    if held:
+        judge()
     return out
 
 
