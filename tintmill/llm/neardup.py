@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import WORD, cut, small
+from .common import WORD, cut, small, small_batches
 from .textops import Words, chunks, inside, mix, ngrams, release
 
 PERMUTATIONS, BAND = 80, 5
@@ -210,7 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ, links between different word sequences are confirmed on the least of them. An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    with small_batches(docs.sparkSession):
+        return _grouped(own, size, percent)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of (_id, _text); every step that goes through Python is done when it returns."""
     signed = cut(docs.mapInArrow(_sign(size), _SIGNED))
     named = signed.filter("_id is not null and _n > 0")
     reps = named.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.count("*").alias("_rows"))
