@@ -118,22 +118,27 @@ class _Part:
         every[begin[:-1]] = _START
         every[np.arange(n) + 2 * words.doc + 1] = words.hashes(0)
         self.first = words.first + np.arange(docs + 1)
-        place = np.delete(np.arange(len(every)), begin[:-1])
+        place = np.delete(np.arange(len(every), dtype=np.int32), begin[:-1])
         used = np.repeat(learnt, np.diff(begin))
         self.tokens, token_at = np.unique(every, return_inverse=True)
+        token_at = token_at.astype(np.int32)
         # The start counts as often as texts are learnt from.
         self.token_n = np.bincount(token_at, used, len(self.tokens)).astype(np.int64)
-        depth = np.arange(len(every)) - np.repeat(begin[:-1], np.diff(begin))
+        depth = (np.arange(len(every)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.int32)
         gram, keys, ends = every, [], []
         for k in range(1, ORDER):
             gram = joined(gram[:-1], every[k:])
-            ends.append(np.flatnonzero(depth[k:] >= k))
+            ends.append(np.flatnonzero(depth[k:] >= k).astype(np.int32))
             keys.append(mix(gram[ends[-1]] + np.uint64(k)) >> np.uint64(64 - sizes.width))
-        self.keys, key_at = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = np.concatenate(keys)
+        # What isn't needed any more would stand beside the sort.
+        del gram, depth, every
+        self.keys, key_at = np.unique(keys, return_inverse=True)
+        del keys
         self.key_n = np.bincount(key_at, np.concatenate([used[k + 1 :][x] for k, x in enumerate(ends)]), len(self.keys)).astype(np.int64)
         at, done = [token_at], 0
         for k, x in enumerate(ends):
-            one = np.full(len(every), -1)
+            one = np.full(len(token_at), -1, np.int32)
             one[x + k + 1] = key_at[done : done + len(x)]
             done += len(x)
             at.append(one)
@@ -172,6 +177,7 @@ class _Grams:
             self._last = (-1, None)
             a, b = self.block.parts[k]
             self._last = (k, _Part(self.block.words(k), self.learnt[a:b], self.sizes))
+            self.block.forget()
         return self._last[1]
 
 

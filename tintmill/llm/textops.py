@@ -118,6 +118,10 @@ class Block:
             self._last = (k, Words(self.texts[a:b], self.lower))
         return self._last[1]
 
+    def forget(self) -> None:
+        """Lets the part that was laid out last go."""
+        self._last = (-1, None)
+
 
 def joined(x: np.ndarray, y: np.ndarray, which: int = 0) -> np.ndarray:
     """A hash of the sequence x then y, from the hashes of both."""
