@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import dropped, written
 
 #: Counted edges up to which one task joins all components, and edges of a written part, about.
 TASK_EDGES, PART_EDGES = 1_000_000, 1_000_000
@@ -65,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.filter("u <> v").distinct().coalesce(parts))
+        before, e = e, written(small.filter("u <> v").distinct().coalesce(parts))
+        dropped(before)
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(True).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(False).alias("hangs")))).alias("x")).select("x.*")
         if ends.groupBy("node").agg(F.count_if("hangs").alias("n"), F.count("*").alias("of")).filter("n > 1 or (n = 1 and of > 1)").isEmpty():
             break
